@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import credentials, doc_pairs, parse_check
+from sextant.llm import credentials, doc_pairs, parse_check, pii
 from sextant.session import read_table
 
 
@@ -48,7 +48,16 @@ def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return doc_pairs.documented_functions(read_table(spark, sf, "source_files"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.found(read_table(spark, sf, "documents"))
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return pii.redact(read_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs)
+    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p9_found, p9_redacted)
 }
 SQL: dict[str, str] = {}
