@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import credentials, doc_pairs, parse_check, pii
+from sextant.llm import credentials, doc_pairs, origin, parse_check, pii
 from sextant.session import read_table
 
 
@@ -26,6 +26,21 @@ def p1_rule_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spans.distinct().groupBy("rule").agg(F.count("*").alias("n_spans"), F.countDistinct("chunk_id").alias("n_chunks"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return origin.foreign_files(read_table(spark, sf, "source_files"))
+
+
+def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Why each file that was not written by hand counts as such, with its statistics."""
+    out = origin.reasons(origin.file_stats(read_table(spark, sf, "source_files"))).filter("foreign")
+    return out.select("path", "lang", "vendored", "generated", "minified", "data_only", "max_line", "mean_line", "space_share", "numeric_density", "encoded_share", "numbered_share")
+
+
+def p2_hand_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing of hand-written files."""
+    return origin.hand_written(read_table(spark, sf, "file_listing"), read_table(spark, sf, "source_files"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return parse_check.syntax_report(read_table(spark, sf, "source_files")).filter("not valid").select("path").distinct()
 
@@ -58,6 +73,6 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p9_found, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p9_found, p9_redacted)
 }
 SQL: dict[str, str] = {}
