@@ -1,0 +1,379 @@
+"""Most similar vectors by a hierarchical k-means tree with best-bin-first traversal (problem 3).
+
+The tree is fitted on a bounded sample (``SAMPLE`` vectors, chosen by hash) on the driver, and its centres, at most
+some hundred KB, go to every task.  Every vector lies in one leaf.  A query visits leaves in the order of a
+priority key, how far it lies beyond the border to each branch, and goes on until the key passes ``tau``.  ``tau`` is
+calibrated: the least value at which the wanted share of the sample's true neighbours lies in visited leaves.
+
+Spark routes vectors to leaves; each (leaf, block) is compared in one task by matrix products.  Popular leaves are cut
+into blocks of members and of visitors, from sizes that the sample predicts, so that no group is unbounded.
+
+Defined results: usable are vectors with exactly ``dim`` finite values that are not all zero; others have no
+neighbours. A repeated id counts once (its least embedding). Ties go to the smaller id. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sextant.session import materialise
+
+#: Vectors that the tree is fitted on, queries that calibrate it, members that a leaf should have, branches of a node.
+SAMPLE, CALIBRATION, LEAF, BRANCH = 20_000, 2_000, 700, 16
+#: Members and visitors of one block at most (predicted from the sample).
+MEMBER_BLOCK, VISITOR_BLOCK = 8_192, 32_768
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def usable_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", dim: int = 96) -> DataFrame:
+    """(vec_id, v): unit vectors as float32 bytes, once per id."""
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b[vector].cast(pa.large_list(pa.float32()))
+            lengths = np.asarray(lists.value_lengths().fill_null(-1))
+            right = np.flatnonzero(lengths == dim)
+            flat = lists.take(pa.array(right)).flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(right), dim)
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            good = np.isfinite(norm) & (norm > 0)
+            x = (x[good] / norm[good, None]).astype(np.float32)
+            ids = b[id_col].take(pa.array(right[good]))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), _to_binary(x)], names=["vec_id", "v"])
+
+    rows = df.select(id_col, vector).filter(F.col(id_col).isNotNull() & (F.size(vector) == dim))
+    return rows.mapInArrow(unit, "vec_id long, v binary").groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def _to_binary(x: np.ndarray) -> pa.Array:
+    n, d = x.shape
+    data = pa.py_buffer(np.ascontiguousarray(x, np.float32).tobytes())
+    offsets = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * (4 * d)).tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [None, offsets, data])
+
+
+def _from_binary(col, dim: int) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+        col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
+    if len(col) == 0:
+        return np.zeros((0, dim), np.float32)
+    col = col.cast(pa.large_binary())
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(data, np.float32, count=len(col) * dim, offset=int(at[0])).reshape(len(col), dim)
+
+
+# ------------------------------------------------------------------ tree
+
+
+@dataclass
+class Tree:
+    """Nodes by number; ``children[i]`` is empty for a leaf, whose number among the leaves is ``leaf[i]``."""
+
+    centres: np.ndarray
+    children: list[np.ndarray]
+    leaf: np.ndarray
+    tau: float = 0.0
+    members: np.ndarray | None = None  # predicted share of all vectors per leaf
+    visitors: np.ndarray | None = None  # predicted visits per vector and leaf
+
+    @property
+    def n_leaves(self) -> int:
+        return int(self.leaf.max()) + 1
+
+    def margins(self, x: np.ndarray, node: int) -> np.ndarray:
+        """How far each row lies beyond the border between the nearest child of ``node`` and each other one."""
+        kids = self.centres[self.children[node]]
+        d2 = ((kids**2).sum(1)[None, :] - 2.0 * (x @ kids.T)).astype(np.float64)
+        best = d2.argmin(1)
+        gap = np.sqrt(np.maximum(((kids[:, None, :] - kids[None, :, :]) ** 2).sum(2), 1e-12))
+        return np.maximum(d2 - d2[np.arange(len(x)), best][:, None], 0.0) / (2.0 * gap[best])
+
+    def visits(self, x: np.ndarray, tau: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, key) of every leaf that best-bin-first traversal reaches with a key up to ``tau``.
+
+        All rows go down together, level by level; a branch is followed if its key, the largest margin on
+        the way, is within ``tau``.  These are the leaves that :meth:`best_bin_first` pops one by one.
+        """
+        frontier = [(0, np.arange(len(x)), np.zeros(len(x)))]
+        rows, leaves, keys = [], [], []
+        while frontier:
+            node, at, key = frontier.pop()
+            kids = self.children[node]
+            if len(kids) == 0:
+                rows.append(at)
+                leaves.append(np.full(len(at), self.leaf[node]))
+                keys.append(key)
+                continue
+            k = np.maximum(self.margins(x[at], node), key[:, None])
+            for j, child in enumerate(kids):
+                ok = k[:, j] <= tau
+                if ok.any():
+                    frontier.append((int(child), at[ok], k[ok, j]))
+        return np.concatenate(rows), np.concatenate(leaves), np.concatenate(keys)
+
+    def best_bin_first(self, q: np.ndarray) -> Iterator[tuple[float, int]]:
+        """(key, leaf) of one query's leaves, nearest first, from a priority queue."""
+        heap = [(0.0, 0)]
+        while heap:
+            key, node = heapq.heappop(heap)
+            if len(self.children[node]) == 0:
+                yield key, int(self.leaf[node])
+                continue
+            for m, child in zip(self.margins(q[None, :], node)[0], self.children[node], strict=True):
+                heapq.heappush(heap, (max(key, float(m)), int(child)))
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The leaf in which each row lies."""
+        rows, leaves, keys = self.visits(x, 0.0)
+        out = np.zeros(len(x), np.int64)
+        order = np.argsort(-keys, kind="stable")
+        out[rows[order]] = leaves[order]
+        return out
+
+
+def _lloyd(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Centres of k-means; begins with spread-out rows."""
+    centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        own = ((centres**2).sum(1)[None, :] - 2.0 * (x @ centres.T)).argmin(1)
+        for j in range(k):
+            if (mine := own == j).any():
+                centres[j] = x[mine].mean(0)
+    return centres
+
+
+def fit(sample: np.ndarray, n_total: int, leaf: int = LEAF, branch: int = BRANCH) -> Tree:
+    """A tree over the sample whose leaves should hold ``leaf`` of ``n_total`` vectors."""
+    want = max(16, int(len(sample) * leaf / max(n_total, 1)))
+    centres, children, leaves = [sample.mean(0) if len(sample) else np.zeros(1, np.float32)], [np.zeros(0, np.int64)], [-1]
+    todo = [(0, np.arange(len(sample)))]
+    n_leaves, sizes = 0, []
+    while todo:
+        node, at = todo.pop()
+        k = min(branch, max(2, -(-len(at) // want)))
+        if len(at) > want:
+            c = _lloyd(sample[at], k)
+            own = ((c**2).sum(1)[None, :] - 2.0 * (sample[at] @ c.T)).argmin(1)
+            kept = [j for j in range(k) if (own == j).any()]
+            if len(kept) > 1:
+                kids = []
+                for j in kept:
+                    kids.append(len(centres))
+                    centres.append(c[j])
+                    children.append(np.zeros(0, np.int64))
+                    leaves.append(-1)
+                children[node] = np.array(kids)
+                todo += [(kid, at[own == j]) for kid, j in zip(kids, kept, strict=True)]
+                continue
+        leaves[node] = n_leaves
+        n_leaves += 1
+        sizes.append(len(at))
+    share = np.array(sizes, np.float64) / max(len(sample), 1)
+    return Tree(np.asarray(centres, np.float32), children, np.array(leaves), members=share)
+
+
+def calibrate(tree: Tree, sample: np.ndarray, recall: float, k: int, min_sim: float, both: bool, queries: int = CALIBRATION) -> Tree:
+    """Sets ``tau`` to the least key at which ``recall`` of the sample's true neighbour links are found.
+
+    ``both``: a link counts if either end visits the other's leaf, since every vector is a query.
+    """
+    q = sample[: min(queries, len(sample))]
+    home = tree.home(sample)
+    sims = q @ sample.T
+    sims[np.arange(len(q)), np.arange(len(q))] = -2
+    rows, leaves, keys = tree.visits(sample if both else q, np.inf)
+    table = np.full((len(sample) if both else len(q), tree.n_leaves), np.inf)
+    table[rows, leaves] = keys
+    kk = min(k, sims.shape[1] - 1) if len(sample) > 1 else 0
+    needed: list[np.ndarray] = []
+    if kk > 0:
+        near = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
+        a = np.repeat(np.arange(len(q)), kk)
+        b = near.ravel()
+        ok = sims[a, b] >= min_sim
+        a, b = a[ok], b[ok]
+        key = table[a, home[b]]
+        if both:
+            key = np.minimum(key, table[b, home[a]])
+        needed.append(key)
+    found = np.concatenate(needed) if needed else np.zeros(0)
+    tree.tau = float(np.quantile(found, recall, method="higher")) + 1e-9 if len(found) else 0.0
+    tree.visitors = (table <= tree.tau).mean(0)
+    return tree
+
+
+# ------------------------------------------------------------------ search
+
+
+def sample_of(vectors: DataFrame, size: int = SAMPLE, dim: int = 96) -> np.ndarray:
+    """At most ``size`` vectors, those with the least hashes of their ids (a bounded number reaches the driver)."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).select("v").toArrow()
+    return _from_binary(rows["v"], dim) if rows.num_rows else np.zeros((0, dim), np.float32)
+
+
+def build(vectors: DataFrame, recall: float = 0.99, k: int = 10, min_sim: float = -1.0, both: bool = True, dim: int = 96, leaf: int = LEAF) -> tuple[Tree, int]:
+    """A calibrated tree for ``vectors`` (vec_id, v), and their number."""
+    n = vectors.count()
+    sample = sample_of(vectors, dim=dim)
+    return calibrate(fit(sample, n, leaf), sample, recall, k, min_sim, both), n
+
+
+def one_leaf(n: int, dim: int = 96) -> Tree:
+    """A tree that does not tell vectors apart: searching it is an exact search in blocks."""
+    return Tree(np.zeros((1, dim), np.float32), [np.zeros(0, np.int64)], np.array([0]), members=np.ones(1), visitors=np.ones(1))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.uint64) * _MIX
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(8)).astype(np.int64)
+
+
+def _route(vectors: DataFrame, tree: Tree, n: int, query_if, self_join: bool, dim: int) -> DataFrame:
+    """Rows (leaf, member block, visitor block, role, vec_id, v). Roles: 0 member compared among its block, 1 member copy, 2 visitor."""
+    spark = vectors.sparkSession
+    mb = np.maximum(1, np.ceil(tree.members * n / MEMBER_BLOCK)).astype(np.int64)
+    vb = np.maximum(1, np.ceil(tree.visitors * n / VISITOR_BLOCK)).astype(np.int64)
+    shared = spark.sparkContext.broadcast((tree, mb, vb))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, m_blocks, v_blocks = shared.value
+        for b in batches:
+            ids = b["vec_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(ids) == 0:
+                continue
+            x = _from_binary(b["v"], dim)
+            h = _hashed(ids)
+            home = t.home(x)
+            my_block = h % m_blocks[home]
+            asks = query_if(ids)
+            # members, a copy for every block of visitors
+            reps = v_blocks[home]
+            at = np.repeat(np.arange(len(ids)), reps)
+            vblock = np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
+            parts = [(at, home[at], my_block[at], vblock, np.where(vblock == 0, 0, 1) if self_join else np.ones(len(at), np.int64))]
+            # visitors
+            q = np.flatnonzero(asks)
+            rows, leaves, _ = t.visits(x[q], t.tau)
+            rows = q[rows]
+            reps = m_blocks[leaves]
+            r = np.repeat(rows, reps)
+            leaf = np.repeat(leaves, reps)
+            block = np.arange(len(r)) - np.repeat(np.cumsum(reps) - reps, reps)
+            if self_join:  # a member meets its own block anyway, and of two blocks of its leaf one meets the other
+                keep = (leaf != home[r]) | (block > my_block[r])
+                r, leaf, block = r[keep], leaf[keep], block[keep]
+            parts.append((r, leaf, block, (h[r] // 7919) % v_blocks[leaf], np.full(len(r), 2)))
+            at, leaf, block, vblock, role = (np.concatenate(c) for c in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf, pa.int32()), pa.array(block, pa.int32()), pa.array(vblock, pa.int32()), pa.array(role, pa.int8()), pa.array(ids[at]), b["v"].take(pa.array(at))],
+                names=["leaf", "mb", "vb", "role", "vec_id", "v"],
+            )
+
+    return vectors.mapInArrow(route, "leaf int, mb int, vb int, role byte, vec_id long, v binary")
+
+
+#: Rows of a matrix product at a time.
+ROWS = 2_048
+
+
+def _best(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int, min_sim: float, out: list) -> None:
+    """Adds for each row of ``a`` its k best rows of ``b`` (other ids only)."""
+    if len(b) == 0:
+        return
+    for s in range(0, len(a), ROWS):
+        sims = a[s : s + ROWS] @ b.T
+        if min_sim > -1:
+            r, c = np.nonzero(sims >= min_sim)
+            v = sims[r, c]
+        else:
+            kk = min(k + 1, sims.shape[1])
+            c = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
+            r = np.repeat(np.arange(len(sims)), kk)
+            c = c.ravel()
+            v = sims[r, c]
+        src, dst = a_ids[s + r], b_ids[c]
+        other = src != dst
+        r, src, dst, v = r[other], src[other], dst[other], v[other]
+        order = np.lexsort((dst, -v, r))
+        r, src, dst, v = r[order], src[order], dst[order], v[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r, "left")
+        top = rank < k
+        out.append((src[top], dst[top], v[top]))
+
+
+def _compared(routed: DataFrame, k: int, min_sim: float, self_join: bool, dim: int) -> DataFrame:
+    """(a, b, sim): per group the k best of each query that is there."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        role = table["role"].to_numpy()
+        ids = table["vec_id"].to_numpy()
+        x = _from_binary(table["v"], dim)
+        m, v = np.flatnonzero(role < 2), np.flatnonzero(role == 2)
+        out: list = []
+        if self_join and (role == 0).any():
+            _best(x[m], ids[m], x[m], ids[m], k, min_sim, out)
+        if len(v):
+            _best(x[v], ids[v], x[m], ids[m], k, min_sim, out)
+            if self_join:
+                _best(x[m], ids[m], x[v], ids[v], k, min_sim, out)
+        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s.astype(np.float64))})
+
+    return routed.groupBy("leaf", "mb", "vb").applyInArrow(compare, "a long, b long, sim double")
+
+
+def _top(links: DataFrame, k: int) -> DataFrame:
+    best = links.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def neighbour_graph(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, recall: float = 0.99, dim: int = 96, leaf: int = LEAF) -> DataFrame:
+    """(a, b, sim, rank): for every vector its k most similar others of at least ``min_sim``."""
+    vectors = materialise(vectors, "vectors")
+    tree, n = build(vectors, recall, k, min_sim, True, dim, leaf)
+    return _top(_compared(_route(vectors, tree, n, lambda ids: np.ones(len(ids), np.bool_), True, dim), k, min_sim, True, dim), k)
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.95, exact: bool = False, dim: int = 96, leaf: int = LEAF) -> DataFrame:
+    """(a, b, sim, rank): the k most similar vectors of every query, the vectors whose id is divisible by ``every``.
+
+    ``exact``: against all vectors, in blocks; else through the tree.
+    """
+    vectors = materialise(vectors, "vectors")
+    if exact:
+        n = vectors.count()
+        tree = one_leaf(n, dim)
+        tree.visitors = np.array([1.0 / every])
+    else:
+        tree, n = build(vectors, recall, k, -1.0, False, dim, leaf)
+        tree.visitors = tree.visitors / every
+    routed = _route(vectors, tree, n, lambda ids: ids % every == 0, False, dim)
+    return _top(_compared(routed, k, -1.0, False, dim), k)
+
+
+def similar_pairs(vectors: DataFrame, k: int = 10, min_sim: float = 0.8, recall: float = 0.99, dim: int = 96, leaf: int = LEAF) -> DataFrame:
+    """(vec_a, vec_b), vec_a < vec_b: pairs of at least ``min_sim`` of which one is among the other's k most similar."""
+    links = neighbour_graph(vectors, k, min_sim, recall, dim, leaf)
+    return links.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
+
+
+def loss(approximate: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: neighbours that an exact search finds, how many of them the index found, and the recall."""
+    hit = exact.select("a", "b").join(approximate.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left")
+    out = hit.agg(F.count("*").alias("n_exact"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"))
+    return out.withColumn("recall", F.round(F.col("n_found") / F.col("n_exact"), 6))

@@ -1,3 +1,8 @@
-"""Registered queries of the core."""
-QUERIES: dict = {}
-SQL: dict = {}
+"""Registered queries of the core and their SQL."""
+
+from __future__ import annotations
+
+from sextant.plans import reference_queries, training_queries
+
+QUERIES = reference_queries.QUERIES | training_queries.QUERIES
+SQL = reference_queries.SQL | training_queries.SQL
