@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import credentials, doc_pairs, origin, parse_check, pii
-from sextant.session import read_table
+from sextant.llm import credentials, doc_pairs, mixing, origin, packing, parse_check, pii, tokens
+from sextant.session import materialise, read_table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,6 +63,40 @@ def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return doc_pairs.documented_functions(read_table(spark, sf, "source_files"))
 
 
+def _tiers(spark: SparkSession, sf: str) -> list[tuple[str, int]]:
+    rows = read_table(spark, sf, "size_profiles").filter("unit = 'tokens' and profile like 'pack%'").select("profile", "capacity").collect()
+    return [(r[0], int(r[1])) for r in rows]
+
+
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text (or piece of an oversized one) with its container: short texts fill the gaps of long containers."""
+    sizes = tokens.token_counts(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return packing.pack(sizes, _tiers(spark, sf))
+
+
+def p7_packing_by_capacity(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole packing of all texts for each capacity."""
+    sizes = materialise(tokens.token_counts(read_table(spark, sf, "documents").select("doc_id", "text")), "sizes")
+    return packing.pack_each(sizes, _tiers(spark, sf))
+
+
+def p7_utilisation(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.utilisation(p7_packing(spark, sf))
+
+
+def _mixture(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = tokens.token_counts(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return mixing.mix(sizes, read_table(spark, sf, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf)
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(_mixture(spark, sf), read_table(spark, sf, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.found(read_table(spark, sf, "documents"))
 
@@ -73,6 +107,6 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p9_found, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p9_found, p9_redacted)
 }
 SQL: dict[str, str] = {}
