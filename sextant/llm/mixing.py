@@ -3,8 +3,8 @@
 Each source's records are laid end to end (in the order of a hash, once per allowed repeat) and cut into blocks of equal size.
 Pfair scheduling sets the blocks in order: the k-th block of a source with weight w is released at k / w and due at (k + 1) / w,
 and of the released blocks the one with the earliest deadline is next, so that no source is ever a block or more behind its
-share.  There are ``BLOCKS`` blocks whatever the amount of data; the schedule is that small, records find their
-block by a join.
+share.  There are at most ``BLOCKS`` blocks whatever the amount of data, and a block is at least as long as the longest record; the schedule
+is that small, records find their block by a join.
 
 The total is the largest at which every source that has text meets its share within its allowed repeats.
 
@@ -79,12 +79,13 @@ def mix(records: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFra
     ).groupBy("source").agg(F.sum("w").alias("w"), F.max("reps").alias("reps"))
     own = records.filter("doc_id is not null and source is not null and n_tokens > 0").select("doc_id", source_name(F.col("source")).alias("source"), F.col("n_tokens").cast("long").alias("n_tokens"))
     laid = materialise(_laid(own.join(F.broadcast(goal.select("source")), "source", "left_semi")), "mixing-laid")
-    have = laid.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).join(goal.filter("w > 0"), "source").collect()  # one row per target
+    have = laid.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest")).join(goal.filter("w > 0"), "source").collect()  # one row per target
     schema = "position long, slot int, source string, doc_id long, repeat int, n_tokens long"
     if not have:
         return spark.createDataFrame([], schema)
     weight = sum(r["w"] for r in have)
     total = min(r["tokens"] * r["reps"] * weight / r["w"] for r in have)
+    blocks = max(1, min(blocks, int(total // max(r["longest"] for r in have))))
     slots = spark.createDataFrame(schedule({r["source"]: r["w"] for r in have}, blocks), "source string, block int, slot int")
     quota = spark.createDataFrame([(r["source"], int(r["tokens"]), total * r["w"] / weight, total / blocks) for r in have], "source string, tokens long, quota double, size double")
     repeated = laid.join(F.broadcast(quota), "source").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil(F.col("quota") / F.col("tokens")) - 1).cast("int")))))
@@ -92,6 +93,8 @@ def mix(records: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFra
     # a record belongs to the block in which its middle lies
     mid = start + F.col("n_tokens") / 2
     taken = repeated.withColumns({"start": start, "mid": mid}).filter(F.col("mid") < F.col("quota")).withColumn("block", F.floor(F.col("mid") / F.col("size")).cast("int"))
+    last = slots.groupBy("source").agg(F.max("block").alias("last"))  # shares are no whole numbers of blocks: the rest goes to the last one
+    taken = taken.join(F.broadcast(last), "source").withColumn("block", F.least("block", "last"))
     placed = taken.join(F.broadcast(slots), ["source", "block"])
     # positions: sums of slots first, then inside each slot
     counts = placed.groupBy("slot").agg(F.count("*").alias("n"))
