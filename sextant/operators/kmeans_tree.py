@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sextant.session import materialise
 
-#: Vectors that the tree is fitted on, queries that calibrate it, members that a leaf should have, branches of a node.
-SAMPLE, CALIBRATION, LEAF, BRANCH = 20_000, 2_000, 700, 16
+#: Vectors that the tree is fitted on, queries that calibrate it, branches of a node.
+SAMPLE, CALIBRATION, BRANCH = 20_000, 2_000, 16
 #: Members and visitors of one block at most (predicted from the sample).
 MEMBER_BLOCK, VISITOR_BLOCK = 8_192, 32_768
 
@@ -35,7 +35,7 @@ MEMBER_BLOCK, VISITOR_BLOCK = 8_192, 32_768
 
 
 def usable_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", dim: int = 96) -> DataFrame:
-    """(vec_id, v): unit vectors as float32 bytes, once per id."""
+    """(vec_id, v): unit vectors as float32 bytes; rows that repeat an id are still there."""
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -51,7 +51,17 @@ def usable_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), _to_binary(x)], names=["vec_id", "v"])
 
     rows = df.select(id_col, vector).filter(F.col(id_col).isNotNull() & (F.size(vector) == dim))
-    return rows.mapInArrow(unit, "vec_id long, v binary").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.mapInArrow(unit, "vec_id long, v binary")
+
+
+def one_per_id(vectors: DataFrame) -> DataFrame:
+    """Vectors once per id, the least one of several.
+
+    Only ids and hashes are shuffled to find ids that come more than once; only those ids' vectors are grouped.
+    """
+    again = vectors.select("vec_id").groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id")
+    single = vectors.join(again, "vec_id", "left_anti")
+    return single.unionByName(vectors.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v")))
 
 
 def _to_binary(x: np.ndarray) -> pa.Array:
@@ -120,6 +130,8 @@ class Tree:
                 ok = k[:, j] <= tau
                 if ok.any():
                     frontier.append((int(child), at[ok], k[ok, j]))
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return np.concatenate(rows), np.concatenate(leaves), np.concatenate(keys)
 
     def best_bin_first(self, q: np.ndarray) -> Iterator[tuple[float, int]]:
@@ -153,9 +165,12 @@ def _lloyd(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def fit(sample: np.ndarray, n_total: int, leaf: int = LEAF, branch: int = BRANCH) -> Tree:
-    """A tree over the sample whose leaves should hold ``leaf`` of ``n_total`` vectors."""
-    want = max(16, int(len(sample) * leaf / max(n_total, 1)))
+def fit(sample: np.ndarray, n_total: int, branch: int = BRANCH) -> Tree:
+    """A tree over the sample with about sqrt(``n_total``) / 24 leaves.
+
+    So the members that a query meets and the leaves between which vectors have to be copied grow alike slowly.
+    """
+    want = max(16, int(len(sample) / max(1.0, n_total**0.5 / 24)))
     centres, children, leaves = [sample.mean(0) if len(sample) else np.zeros(1, np.float32)], [np.zeros(0, np.int64)], [-1]
     todo = [(0, np.arange(len(sample)))]
     n_leaves, sizes = 0, []
@@ -222,11 +237,11 @@ def sample_of(vectors: DataFrame, size: int = SAMPLE, dim: int = 96) -> np.ndarr
     return _from_binary(rows["v"], dim) if rows.num_rows else np.zeros((0, dim), np.float32)
 
 
-def build(vectors: DataFrame, recall: float = 0.99, k: int = 10, min_sim: float = -1.0, both: bool = True, dim: int = 96, leaf: int = LEAF) -> tuple[Tree, int]:
+def build(vectors: DataFrame, recall: float = 0.99, k: int = 10, min_sim: float = -1.0, both: bool = True, dim: int = 96) -> tuple[Tree, int]:
     """A calibrated tree for ``vectors`` (vec_id, v), and their number."""
     n = vectors.count()
     sample = sample_of(vectors, dim=dim)
-    return calibrate(fit(sample, n, leaf), sample, recall, k, min_sim, both), n
+    return calibrate(fit(sample, n), sample, recall, k, min_sim, both), n
 
 
 def one_leaf(n: int, dim: int = 96) -> Tree:
@@ -342,33 +357,33 @@ def _top(links: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, recall: float = 0.99, dim: int = 96, leaf: int = LEAF) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, recall: float = 0.99, dim: int = 96) -> DataFrame:
     """(a, b, sim, rank): for every vector its k most similar others of at least ``min_sim``."""
-    vectors = materialise(vectors, "vectors")
-    tree, n = build(vectors, recall, k, min_sim, True, dim, leaf)
+    vectors = one_per_id(materialise(vectors, "vectors"))
+    tree, n = build(vectors, recall, k, min_sim, True, dim)
     return _top(_compared(_route(vectors, tree, n, lambda ids: np.ones(len(ids), np.bool_), True, dim), k, min_sim, True, dim), k)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.95, exact: bool = False, dim: int = 96, leaf: int = LEAF) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.95, exact: bool = False, dim: int = 96) -> DataFrame:
     """(a, b, sim, rank): the k most similar vectors of every query, the vectors whose id is divisible by ``every``.
 
     ``exact``: against all vectors, in blocks; else through the tree.
     """
-    vectors = materialise(vectors, "vectors")
+    vectors = one_per_id(materialise(vectors, "vectors"))
     if exact:
         n = vectors.count()
         tree = one_leaf(n, dim)
         tree.visitors = np.array([1.0 / every])
     else:
-        tree, n = build(vectors, recall, k, -1.0, False, dim, leaf)
+        tree, n = build(vectors, recall, k, -1.0, False, dim)
         tree.visitors = tree.visitors / every
     routed = _route(vectors, tree, n, lambda ids: ids % every == 0, False, dim)
     return _top(_compared(routed, k, -1.0, False, dim), k)
 
 
-def similar_pairs(vectors: DataFrame, k: int = 10, min_sim: float = 0.8, recall: float = 0.99, dim: int = 96, leaf: int = LEAF) -> DataFrame:
+def similar_pairs(vectors: DataFrame, k: int = 10, min_sim: float = 0.8, recall: float = 0.99, dim: int = 96) -> DataFrame:
     """(vec_a, vec_b), vec_a < vec_b: pairs of at least ``min_sim`` of which one is among the other's k most similar."""
-    links = neighbour_graph(vectors, k, min_sim, recall, dim, leaf)
+    links = neighbour_graph(vectors, k, min_sim, recall, dim)
     return links.select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).distinct()
 
 
