@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import basename, is_blank, split_lines, strip_ws
 
-HEADER = r"^(#{1,6})\s+(.+)$"
+HEADER = r"(?s)^(#{1,6})\s+(.+)\z"
 
 
 def _lines(files: DataFrame) -> DataFrame:
