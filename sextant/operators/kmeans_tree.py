@@ -54,14 +54,25 @@ def usable_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
     return rows.mapInArrow(unit, "vec_id long, v binary")
 
 
-def one_per_id(vectors: DataFrame) -> DataFrame:
-    """Vectors once per id, the least one of several.
+#: Ids up to which a list of ids is broadcast (8 bytes each); beyond it the join shuffles.
+ID_LIMIT = 100_000
 
-    Only ids and hashes are shuffled to find ids that come more than once; only those ids' vectors are grouped.
+
+def settled(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with one vector per id, the least one of several; rows that are wholly equal may stay.
+
+    Only ids and hashes are shuffled to find ids that come with different vectors, and only the vectors of those are
+    grouped.  Equal rows end up in the same block and are dropped there.
     """
-    again = vectors.select("vec_id").groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id")
-    single = vectors.join(again, "vec_id", "left_anti")
-    return single.unionByName(vectors.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v")))
+    h = F.xxhash64("v")
+    odd = vectors.select("vec_id", h.alias("h")).groupBy("vec_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("vec_id")
+    odd = materialise(odd, "vector-ids")
+    n = odd.count()
+    if n == 0:
+        return vectors
+    listed = F.broadcast(odd) if n <= ID_LIMIT else odd
+    one = vectors.join(listed, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.join(listed, "vec_id", "left_anti").unionByName(one)
 
 
 def _to_binary(x: np.ndarray) -> pa.Array:
@@ -338,6 +349,7 @@ def _compared(routed: DataFrame, k: int, min_sim: float, self_join: bool, dim: i
         ids = table["vec_id"].to_numpy()
         x = _from_binary(table["v"], dim)
         m, v = np.flatnonzero(role < 2), np.flatnonzero(role == 2)
+        m, v = m[np.unique(ids[m], return_index=True)[1]], v[np.unique(ids[v], return_index=True)[1]]
         out: list = []
         if self_join and (role == 0).any():
             _best(x[m], ids[m], x[m], ids[m], k, min_sim, out)
@@ -359,7 +371,7 @@ def _top(links: DataFrame, k: int) -> DataFrame:
 
 def neighbour_graph(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, recall: float = 0.99, dim: int = 96) -> DataFrame:
     """(a, b, sim, rank): for every vector its k most similar others of at least ``min_sim``."""
-    vectors = one_per_id(materialise(vectors, "vectors"))
+    vectors = settled(materialise(vectors, "vectors"))
     tree, n = build(vectors, recall, k, min_sim, True, dim)
     return _top(_compared(_route(vectors, tree, n, lambda ids: np.ones(len(ids), np.bool_), True, dim), k, min_sim, True, dim), k)
 
@@ -369,7 +381,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, recall: float = 0.
 
     ``exact``: against all vectors, in blocks; else through the tree.
     """
-    vectors = one_per_id(materialise(vectors, "vectors"))
+    vectors = settled(materialise(vectors, "vectors"))
     if exact:
         n = vectors.count()
         tree = one_leaf(n, dim)
