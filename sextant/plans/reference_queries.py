@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant.functions import lang as L
 from sextant.functions import text as X
 from sextant.functions import vectors as V
-from sextant.operators import chunk_text, dml, embed, incremental, search
+from sextant.operators import ann, chunk_code, chunk_text, dml, embed, fulltext, incremental, search
 from sextant.operators.knn import knn, knn_batch, lookup_vector, recommend
 from sextant.plans.spec import QuerySpec, VectorSearch
 from sextant.session import read_table as table
@@ -467,3 +467,50 @@ def q56_vector_quality(spark, sf):
     v = F.col("embedding")
     ok = table(spark, sf, "embedding_data").filter((F.size(v) == 96) & ~F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
     return ok.select("vec_id", (V.norm(v) > 0).alias("has_length"), F.size(v).alias("dim"))
+
+
+# ------------------------------------------------------------------ approximate search, full text, code chunks
+
+
+@query()
+def q52_ann_lsh(spark, sf):
+    return _rounded(ann.lsh_search(table(spark, sf, "embeddings"), qv(spark, sf, 0)))
+
+
+@query()
+def q57_ann_ivf_flat(spark, sf):
+    return _rounded(ann.ivf_flat(table(spark, sf, "embeddings")).search(qv(spark, sf, 0)))
+
+
+@query()
+def q58_ann_ivf_pq(spark, sf):
+    return _rounded(ann.ivf_pq(table(spark, sf, "embeddings")).search(qv(spark, sf, 0)))
+
+
+_TERMS = ("index", "batch", "vector")
+_TF = ", ".join(f"len(list_filter(words, lambda w: w = '{t}')) AS tf{i}" for i, t in enumerate(_TERMS))
+_BM = " + ".join(f"ln(1.0 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i in range(3))
+
+
+@query(f"""WITH r AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL),
+s AS (SELECT id, len(words) AS size, {_TF} FROM r), t AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1, count(*) FILTER (tf2 > 0) AS df2 FROM s)
+SELECT id, round({_BM}, 6) AS score FROM s, t WHERE {_BM} > 0 ORDER BY {_BM} DESC, id LIMIT 20""")
+def q59_bm25(spark, sf):
+    return _rounded(fulltext.bm25(table(spark, sf, "documents"), "doc_id", "text", _TERMS))
+
+
+@query("SELECT path FROM source_files WHERE list_contains(string_split(path, '/'), 'internal')")
+def q60_label_list(spark, sf):
+    return table(spark, sf, "source_files").filter(F.array_contains(F.split("path", "/"), "internal")).select("path")
+
+
+@query("SELECT term, count(*) AS n_docs, sum(tf)::BIGINT AS n FROM (SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS w FROM documents WHERE text IS NOT NULL) WHERE w <> '' GROUP BY ALL) GROUP BY term")
+def q61_inverted_index(spark, sf):
+    return fulltext.postings(table(spark, sf, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
+
+
+@query()
+def q62_chunk_code(spark, sf):
+    """Functions, methods and types of every source file."""
+    files = table(spark, sf, "source_files").withColumn("language", L.detect_language(F.col("path"), F.col("content")))
+    return chunk_code.chunk_code(files).select("file_path", "language", "chunk_type", "name", "signature", "receiver", "line_start", "line_end")

@@ -1,0 +1,106 @@
+import numpy as np
+import pytest
+
+from sextant.operators import ann
+from sextant.operators import kmeans_tree as K
+
+
+def clustered(n, dim=96, seed=1, per=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // per + 1, dim))
+    return (centres[np.arange(n) // per] + 0.25 * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def frame(spark, x, ids=None):
+    rows = [(int(i), [float(v) for v in r], "extra") for i, r in zip(ids if ids is not None else range(len(x)), x, strict=True)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string")
+
+
+def truth(x, k=10, min_sim=0.8):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return {(min(i, int(j)), max(i, int(j))) for i in range(len(x)) for j in near[i] if s[i, j] >= min_sim}
+
+
+def test_pairs_match_brute_force(spark):
+    x = clustered(1500)
+    got = {tuple(r) for r in K.similar_pairs(K.usable_vectors(frame(spark, x)), recall=0.998).collect()}
+    want = truth(x)
+    assert len(want & got) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_many_leaves_still_find_neighbours(spark, monkeypatch):
+    x = clustered(1200, per=12)
+    monkeypatch.setattr(K, "fit", lambda sample, n, branch=4, fit=K.fit: fit(sample, 10**7, branch))
+    monkeypatch.setattr(K, "MEMBER_BLOCK", 16)
+    monkeypatch.setattr(K, "VISITOR_BLOCK", 16)
+    got = {tuple(r) for r in K.similar_pairs(K.usable_vectors(frame(spark, x)), recall=0.998).collect()}
+    want = truth(x)
+    assert len(want & got) >= 0.98 * len(want)
+
+
+def test_bad_vectors_and_repeated_ids(spark):
+    x = clustered(60)
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [(100, None), (101, [0.0] * 96), (102, [float("nan")] * 96), (103, [1.0] * 48), (104, [float("inf")] + [1.0] * 95), (None, rows[0][1]), (0, rows[0][1]), (105, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert K.settled(K.usable_vectors(df)).select("vec_id").distinct().count() == 60
+    got = {tuple(r) for r in K.similar_pairs(K.usable_vectors(df), recall=1.0).collect()}
+    assert got == truth(x)
+
+
+def test_an_id_with_two_vectors_keeps_the_least(spark):
+    x = clustered(40)
+    df = frame(spark, np.vstack([x, -x[:1]]), [*range(40), 0])
+    v = K.settled(K.usable_vectors(df))
+    assert v.count() == 40
+    assert v.filter("vec_id = 0").first()["v"] == K.usable_vectors(df).filter("vec_id = 0").agg({"v": "min"}).first()[0]
+
+
+def test_equal_vectors_in_a_hot_group(spark):
+    x = np.vstack([np.repeat(clustered(1), 400, axis=0), clustered(200, seed=3)])
+    links = K.neighbour_graph(K.usable_vectors(frame(spark, x)), k=10, min_sim=0.8, recall=1.0)
+    counts = {r["a"]: r["n"] for r in links.groupBy("a").count().withColumnRenamed("count", "n").collect()}
+    assert all(counts[i] == 10 for i in range(400))
+
+
+def test_empty_and_single(spark):
+    df = frame(spark, clustered(1))
+    assert K.similar_pairs(K.usable_vectors(df)).count() == 0
+    assert K.similar_pairs(K.usable_vectors(df.limit(0))).count() == 0
+    assert K.search(K.usable_vectors(df.limit(0)), exact=True).count() == 0
+
+
+def test_queue_and_frontier_visit_the_same_leaves():
+    x = clustered(800)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = K.fit(x, 10**7, 4)
+    rows, leaves, keys = t.visits(x[:5], np.inf)
+    for i in range(5):
+        popped = list(t.best_bin_first(x[i]))
+        assert [k for k, _ in popped] == sorted(k for k, _ in popped)
+        assert sorted(leaf for _, leaf in popped) == sorted(leaves[rows == i])
+        assert popped[0][1] == t.home(x[i : i + 1])[0]
+
+
+def test_search_recall(spark):
+    x = clustered(1500)
+    v = K.usable_vectors(frame(spark, x))
+    exact = K.search(v, every=50, exact=True)
+    assert exact.groupBy("a").count().filter("count = 10").count() == 30
+    row = K.loss(K.search(v, every=50), exact).first()
+    assert row["n_exact"] == 300 and row["recall"] >= 0.9
+
+
+def test_ann_indexes(spark):
+    x = clustered(400, dim=64)
+    df = frame(spark, x)
+    q = [float(v) for v in x[7]]
+    flat = ann.ivf_flat(df, cells=8)
+    assert flat.search(q, 5, nprobe=3).first()["vec_id"] == 7
+    want = [r["vec_id"] for r in flat.search(q, 5, nprobe=8).collect()]
+    assert [r["vec_id"] for r in ann.ivf_pq(df, cells=8).search(q, 5, nprobe=8, rerank=20).collect()][:3] == want[:3]
+    assert ann.lsh_search(df, q, 5).orderBy("score").first()["vec_id"] == 7
+    assert pytest.approx(0.0) == flat.search(q, 1).first()["score"]
