@@ -48,7 +48,9 @@ _C_NUMBER = re.compile(
 _GO_NUMBER = re.compile(r"(?:0[xX][_\da-fA-F]+(?:\.[\da-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO]?[0-7_]*|[1-9][\d_]*|\d[\d_]*\.[\d_]*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+)i?$")
 _JAVA_NUMBER = re.compile(r"(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)[lLfFdD]?$")
 _JS_NUMBER = re.compile(r"(?:0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|\d[\d_]*n|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)$")
-_PY_NUMBER = re.compile(r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:0[0_]*|[1-9][\d_]*)|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[jJ]?)$")
+_PY_NUMBER = re.compile(
+    r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|0[0_]*|[1-9][\d_]*|(?:\d[\d_]*\.[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?|\d[\d_]*[eE][+-]?\d[\d_]*[jJ]?|\d[\d_]*[jJ])$"
+)
 _WORDS = r"[^\W\d]\w*"
 _PP_NUMBER = r"\.?\d(?:[eEpP][+-](?=\d)|[\w.])*"
 
