@@ -44,7 +44,7 @@ _RULES: dict[str, list[tuple[str, re.Pattern]]] = {
         "java": [
             ("class", rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*{_MODS}class\s+(?P<name>\w+)"),
             ("interface", rf"^[ \t]*{_MODS}interface\s+(?P<name>\w+)"),
-            ("method", rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*{_MODS}(?:<[^>]+>\s+)?(?!(?:new|return|throw|else|case)\b)[\w.]+(?:<[^;(]*>)?(?:\[\])*\s+(?P<name>(?!(?:if|for|while|switch|catch)\b)\w+)\s*(?P<sig>\([^;{{}}]*\)[^;{{}}=]*)(?=\{{)"),
+            ("method", rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*{_MODS}(?:<[^>]+>\s+)?(?!(?:new|return|throw|else|case|public|private|protected|static|final)\b)[\w.]+(?:<[^;(]*>)?(?:\[\])*\s+(?P<name>(?!(?:if|for|while|switch|catch)\b)\w+)\s*(?P<sig>\([^;{{}}]*\)[^;{{}}=]*)(?=\{{)"),
             ("function", rf"^[ \t]*(?:public|private|protected)\s+(?P<name>[A-Z]\w*)\s*(?P<sig>\([^;{{}}]*\)[^;{{}}]*)(?=\{{)"),
         ],
         "rust": [

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _is(term: str):
+    return lambda w: w == F.lit(term)
+
+
 def postings(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, term, tf, size): the inverted index. Terms are counted before anything is shuffled by term."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w != "")
@@ -22,7 +26,7 @@ def bm25(df: DataFrame, id_col: str, text: str, terms: Sequence[str], k: int = 2
     """(id, score) of the ``k`` best rows for the terms; numbers over all rows, only the asked terms are shuffled."""
     words = F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: w != "")
     rows = df.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), words.alias("words"))
-    sized = rows.select("id", F.size("words").alias("size"), *[F.size(F.filter("words", lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    sized = rows.select("id", F.size("words").alias("size"), *[F.size(F.filter("words", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     totals = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     n, mean = totals["n"], totals["mean"] or 1.0

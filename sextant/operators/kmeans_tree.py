@@ -235,7 +235,7 @@ def calibrate(tree: Tree, sample: np.ndarray, recall: float, k: int, min_sim: fl
         needed.append(key)
     found = np.concatenate(needed) if needed else np.zeros(0)
     tree.tau = float(np.quantile(found, recall, method="higher")) + 1e-9 if len(found) else 0.0
-    tree.visitors = (table <= tree.tau).mean(0)
+    tree.visitors = (table <= tree.tau).mean(0) if len(table) else np.zeros(tree.n_leaves)
     return tree
 
 
