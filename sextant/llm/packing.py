@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sextant.session import materialise
 
 #: Parts into which the texts of one size are cut for ranking, so that a size that many texts share is not one task.
-SALT = 64
+SALT = 16
 #: Containers of one step group.
 STEP = 16
 
