@@ -45,7 +45,7 @@ def chunk_files(files: DataFrame, compat: bool = True) -> DataFrame:
     return chunk_code.with_ids(rows).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_CHUNKS.fields])
 
 
-def index(spark: SparkSession, root: str, store: Store, code: Embedder, docs: Embedder, table: dict[str, str] = STRICT, dim: int = DIM) -> Report:
+def index(spark: SparkSession, root: str, store: Store, code: Embedder, docs: Embedder, table: dict[str, str] = STRICT, dim: int = DIM, workers: int = 32) -> Report:
     """Brings the store up to date with the tree; one commit, so a failed run leaves the old state."""
     began = datetime.now(timezone.utc)
     scan = list_files(spark, root, table).persist()
@@ -57,7 +57,7 @@ def index(spark: SparkSession, root: str, store: Store, code: Embedder, docs: Em
             report.up_to_date = True
             return report
         todo = scan.join(actions.filter(F.col("action").isin("new", "modified")).select("path"), "path", "left_semi")
-        fresh = embed_two_passes(chunk_files(read_contents(todo.select("path", "language"))), code, docs, dim=dim)
+        fresh = embed_two_passes(chunk_files(read_contents(todo.select("path", "language"), workers)), code, docs, dim=dim, workers=workers)
         store.replace(incremental.upsert(store.chunks(), fresh, actions), scan, began)
         return report
     finally:

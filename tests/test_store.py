@@ -33,7 +33,7 @@ def tree(tmp_path):
 
 
 def run(spark, tree, store):
-    return index(spark, str(tree), store, LengthEmbedder(1), LengthEmbedder(1000), dim=DIM)
+    return index(spark, str(tree), store, LengthEmbedder(1), LengthEmbedder(1000), dim=DIM, workers=2)
 
 
 def test_listing(spark, tree):
@@ -186,7 +186,7 @@ def test_stream_upserts(spark, tmp_path):
 
 
 def test_cli(spark, tree, capsys):
-    assert cli.main(["--root", str(tree), "--offline", "index"]) == 0
+    assert cli.main(["--root", str(tree), "--offline", "index", "-w", "2"]) == 0
     assert "4 new" in capsys.readouterr().out
     assert cli.main(["--root", str(tree), "--offline", "search", "notes", "--docs", "--limit", "2"]) == 0
     assert capsys.readouterr().out.startswith("1. ")
