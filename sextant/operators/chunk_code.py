@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.session import spread
+
 SCHEMA = (
     "file_path string, language string, chunk_type string, name string, signature string, receiver string, doc_comment string, code string, "
     "line_start int, line_end int, metadata map<string,string>"
@@ -286,7 +288,7 @@ def chunk_code(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     known = files.filter("content IS NOT NULL AND language IS NOT NULL").select("path", "language", "content")
-    return known.mapInPandas(run, SCHEMA)
+    return spread(known).mapInPandas(run, SCHEMA)
 
 
 def with_ids(chunks: DataFrame) -> DataFrame:

@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.functions.vectors import distance, l2_pair, pad
+from sextant.functions.vectors import METRICS, l2_pair, pad
 
 DEFAULT_LIMIT = 10
 
 
 def with_score(df: DataFrame, query: Sequence[float], vector: str = "vector", metric: str = "l2") -> DataFrame:
-    return df.withColumn("score", distance(metric, F.col(vector), query)).filter(F.col("score").isNotNull())
+    """Rows whose vector has the query's length, with their distance (null if the vector holds nulls or has no direction)."""
+    return df.filter(F.size(vector) == len(query)).withColumn("score", METRICS[metric](F.col(vector), query))
 
 
 def knn(
@@ -38,7 +39,8 @@ def knn(
         df = df.filter(where)
     keep = list(columns) if columns else [c for c in df.columns if c != vector]
     scored = with_score(df, query, vector, metric).select(*dict.fromkeys([*keep, id_col, "score"]))
-    return scored.orderBy("score", id_col).limit(k if k > 0 else DEFAULT_LIMIT)
+    # distances without a value sort last and are dropped behind the limit: a filter before it would work every distance out twice
+    return scored.orderBy(F.col("score").asc_nulls_last(), id_col).limit(k if k > 0 else DEFAULT_LIMIT).filter(F.col("score").isNotNull())
 
 
 def knn_batch(
