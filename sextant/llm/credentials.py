@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm.secret_rules import RULES, find
 from sextant.llm.trigrams import Index, required
+from sextant.session import spread
 
 _INDEX: list[Index] = []
 
@@ -61,7 +62,7 @@ def find_spans(chunks: DataFrame) -> DataFrame:
             )
 
     wanted = chunks.filter("code is not null and chunk_id is not null").select("chunk_id", "file_path", "code")
-    return wanted.mapInArrow(scan, "chunk_id string, char_start int, char_end int, rule string")
+    return spread(wanted).mapInArrow(scan, "chunk_id string, char_start int, char_end int, rule string")
 
 
 def found(chunks: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import extension
 from sextant.operators.incremental import latest_listing
+from sextant.session import spread
 
 # ------------------------------------------------------------------ fixed values
 
@@ -189,7 +190,7 @@ def file_stats(files: DataFrame) -> DataFrame:
                 cols["owners"] = pa.array([_owners(t) for t in remarks], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return rows.filter("path is not null").mapInArrow(scan, schema)
+    return spread(rows.filter("path is not null")).mapInArrow(scan, schema)
 
 
 # ------------------------------------------------------------------ decisions

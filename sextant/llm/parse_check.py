@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sextant.functions.text import extension
 from sextant.llm import lr_tables
 from sextant.llm.syntax import LANGUAGES, Reader
+from sextant.session import spread
 
 _READERS: dict[str, Reader] = {}
 
@@ -44,7 +45,7 @@ def judged_files(files: DataFrame) -> DataFrame:
     lang = F.lit(None).cast("string")
     for e, name in LANGUAGES.items():
         lang = F.when(extension(F.col("path")) == e, name).otherwise(lang)
-    return files.select("path", lang.alias("lang"), "content").filter("lang is not null and content is not null")
+    return spread(files.select("path", lang.alias("lang"), "content").filter("lang is not null and content is not null"))
 
 
 def syntax_report(files: DataFrame) -> DataFrame:

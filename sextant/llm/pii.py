@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import pii_forms as forms
-from sextant.session import materialise
+from sextant.session import materialise, spread
 
 #: Rounds of scoring; score from which an instance or pattern belongs to the model; distinct instances that a pattern needs.
 ROUNDS, INSTANCE_SCORE, PATTERN_SCORE, SUPPORT = 4, 0.4, 0.6, 3
@@ -290,6 +290,7 @@ def _redacted_batch(b: pa.RecordBatch, known: Iterable) -> pa.RecordBatch:
 
 
 def _apply(rows: DataFrame, schema: str, work, limit: int) -> DataFrame:
+    rows = spread(rows)
     keys = materialise(model(materialise(graph(rows), "pii-graph")), "pii-model")
     if keys.count() <= limit:
         shared = rows.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in keys.collect()))

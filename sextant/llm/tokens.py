@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.session import spread
+
 #: Default vocabulary (ranks of a byte-level BPE).
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that cuts texts before byte-level BPE.
@@ -41,4 +43,4 @@ def token_counts(docs: DataFrame, path: str = DEFAULT, text: str = "text") -> Da
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in kept], pa.array(sizes, pa.int32())], names=[*kept, "n_tokens"])
 
-    return docs.select(*kept, text).mapInArrow(count, schema)
+    return spread(docs.select(*kept, text)).mapInArrow(count, schema)
