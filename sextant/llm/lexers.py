@@ -474,3 +474,93 @@ class PyLexer:
 
 
 LEXERS = {"c": CLexer, "go": GoLexer, "java": JavaLexer, "javascript": JsLexer, "python": PyLexer}
+
+
+# ------------------------------------------------------------------ plain lines
+
+
+class _Kinds(dict):
+    """Kind of a token by its text, worked out once; '' for comments, None for what only the full lexer can tell."""
+
+    def __init__(self, lexer, limit: int = 300_000):
+        super().__init__()
+        self.lexer, self.limit = lexer, limit
+
+    def __missing__(self, token: str):
+        if len(self) > self.limit:
+            self.clear()
+        kind = self[token] = self._kind(token)
+        return kind
+
+    def _kind(self, token: str):
+        lexer = self.lexer
+        if isinstance(lexer, PyLexer):
+            o = lexer.opener.match(token)
+            if o:
+                pre = o["pre"].lower()
+                whole = len(token) > o.end() and token.endswith(o["q"])
+                return "STR" if whole and pre in lexer.prefixes and "f" not in pre and len(o["q"]) == 1 else None
+            if token[0] == "#":
+                return ""
+        elif token.startswith("//"):
+            return ""
+        m = lexer.master.match(token)
+        if m is None or m.end() != len(token):
+            return None
+        g = m.lastgroup
+        if g == "W":
+            words = PY_WORDS if isinstance(lexer, PyLexer) else lexer.words
+            w = token if isinstance(lexer, PyLexer) else lexer.aliases.get(token, token)
+            return w if w in words else None if w in JS_RESERVED and isinstance(lexer, JsLexer) else "ID"
+        if g == "P":
+            return token
+        if g == "N":
+            number = _PY_NUMBER if isinstance(lexer, PyLexer) else lexer.number
+            return "NUM" if number.match(token) else None
+        return {"S": "STR", "C": "CHR", "V": "PRIVATE"}.get(g)
+
+
+class PlainLines:
+    """Kinds of lines without anything that reaches beyond them, from one ``findall``: the usual line.
+
+    Gives None for every other line, which the full lexer then reads.
+    """
+
+    def __init__(self, lexer):
+        self.lexer, self.kinds = lexer, _Kinds(lexer)
+        if isinstance(lexer, PyLexer):
+            tail = lexer.master.pattern.split("(?P<W>", 1)[1]
+            body = r"#.*|[A-Za-z]{0,2}(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*')|(?P<W>" + tail
+            self.stops = ('"""', "'''")
+        else:
+            body = lexer.master.pattern
+            self.stops = {JsLexer: ("/", "`"), JavaLexer: ("/*", '"""')}.get(type(lexer), ("/*", "`"))
+        self.find = re.compile(r"[ \t\f\v\r﻿\xa0]+|(" + re.sub(r"\(\?P<\w>", "(?:", body) + r"|\S)").findall
+
+    def line(self, state, line: str) -> tuple[list[str], object] | None:
+        lexer = self.lexer
+        js = isinstance(lexer, JsLexer)
+        if js:
+            if state[0] or state[1]:
+                return None
+        elif state != "":
+            return None
+        if line[-1:] == "\\":
+            return None
+        for s in self.stops:
+            if s in line:
+                return None
+        known = self.kinds
+        out = [known[t] for t in self.find(line) if t]
+        if None in out:
+            return None
+        if "" in out:
+            out = [k for k in out if k]
+        if js:
+            if out and out[0] in ("++", "--"):
+                out[0] = "NLINC"
+            value = out[-1] in lexer.values if out else state[2]
+            return lexer._cut(out), ("", (), value)
+        if isinstance(lexer, GoLexer) and out and out[-1] in lexer.enders:
+            out.append(";")
+        return out, ""

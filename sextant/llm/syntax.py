@@ -8,7 +8,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from sextant.llm.glr import Recogniser
-from sextant.llm.lexers import ERROR, LEXERS
+from sextant.llm.lexers import ERROR, LEXERS, PlainLines
 from sextant.llm.lr_tables import Tables
 
 # Language by extension.
@@ -29,6 +29,7 @@ class Reader:
     def __init__(self, language: str, tables: Tables):
         self.language, self.tables = language, tables
         self.lexer = LEXERS[language]()
+        self.plain = PlainLines(self.lexer)
         js = language == "javascript"
         self.rec = Recogniser(tables, "ASI" if js else None, ("}",) if js else ())
         self.names = {v: k for k, v in tables.terminals.items()}
@@ -36,9 +37,8 @@ class Reader:
         self.parts: list[tuple[tuple[int, ...], bool]] = []
         self.seen: dict[tuple[object, str], tuple] = {}
         self.begin = ((0,),)
-
-    def _number(self, kind: str) -> int:
-        return self.tables.terminals.get(kind, -1)
+        get = tables.terminals.get
+        self.ends, self.comma = {get(k) for k in (";", "{", "}")} - {None}, get(",")
 
     def _key(self, tokens: tuple[int, ...], fresh: bool) -> int:
         k = self.keys.get((tokens, fresh))
@@ -49,16 +49,17 @@ class Reader:
 
     def _cut(self, kinds: list[str], fresh: bool = True) -> tuple[int, ...]:
         """Keys of a line's tokens, cut into parts."""
-        if len(kinds) <= PART:
-            return (self._key(tuple([self._number(k) for k in kinds]), fresh),) if kinds else ()
-        out, part = [], []
-        for k in kinds:
-            part.append(self._number(k))
-            if k in (";", "{", "}") or (len(part) >= PART and k == ","):
-                out.append(self._key(tuple(part), fresh))
-                part, fresh = [], False
-        if part:
-            out.append(self._key(tuple(part), fresh))
+        get = self.tables.terminals.get
+        numbers = [get(k, -1) for k in kinds]
+        if len(numbers) <= PART:
+            return (self._key(tuple(numbers), fresh),) if numbers else ()
+        out, start, comma, ends = [], 0, self.comma, self.ends
+        for at, k in enumerate(numbers):
+            if k in ends or (k == comma and at - start >= PART - 1):
+                out.append(self._key(tuple(numbers[start : at + 1]), fresh))
+                start, fresh = at + 1, False
+        if start < len(numbers):
+            out.append(self._key(tuple(numbers[start:]), fresh))
         return tuple(out)
 
     def _feed(self, stacks, keys):
@@ -90,7 +91,7 @@ class Reader:
     def _lexed(self, state, line: str):
         got = self.seen.get((state, line))
         if got is None:
-            kinds, after = self.lexer.line(state, line)
+            kinds, after = self.plain.line(state, line) or self.lexer.line(state, line)
             got = (self._cut(kinds), after)
             if len(line) <= LONGEST:
                 if len(self.seen) > LINES:
@@ -177,8 +178,10 @@ class Reader:
             key = (("P", state), line)
             got = seen.get(key)
             if got is None:
-                kinds, after = self.lexer.line("" if state == "K" else state, line)
-                net = sum(k in ("(", "[", "{") for k in kinds) - sum(k in (")", "]", "}") for k in kinds)
+                begin = "" if state == "K" else state
+                kinds, after = self.plain.line(begin, line) or self.lexer.line(begin, line)
+                count = kinds.count
+                net = count("(") + count("[") + count("{") - count(")") - count("]") - count("}")
                 body = line.lstrip(" \t\f")
                 lead = line[: len(line) - len(body)].rpartition("\f")[2]
                 wide = len(lead.expandtabs(8))
