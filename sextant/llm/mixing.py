@@ -109,8 +109,8 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, n_records, n_tokens, share, most_repeats): what each target got."""
     goal = targets.filter("source is not null").select(source_name(F.col("source")).alias("source"), F.col("target_share")).groupBy("source").agg(F.sum("target_share").alias("target_share"))
     per = mixture.groupBy("source").agg(F.count("*").alias("n_records"), F.sum("n_tokens").alias("n_tokens"), (F.max("repeat") + 1).alias("most_repeats"))
-    all_ = per.agg(F.sum("n_tokens").alias("all_tokens"))
-    out = goal.join(per, "source", "left").join(F.broadcast(all_.withColumn("k", F.lit(1))), F.lit(1) == F.col("k"), "left")
+    whole = Window.partitionBy(F.lit(1))  # one row per target
+    out = goal.join(per, "source", "left").withColumn("all_tokens", F.sum("n_tokens").over(whole))
     return out.select(
         "source", "target_share", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         F.coalesce(F.round(F.col("n_tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
