@@ -3,8 +3,10 @@
 Each source's records are laid end to end (in the order of a hash, once per allowed repeat) and cut into blocks of equal size.
 Pfair scheduling sets the blocks in order: the k-th block of a source with weight w is released at k / w and due at (k + 1) / w,
 and of the released blocks the one with the earliest deadline is next, so that no source is ever a block or more behind its
-share.  There are at most ``BLOCKS`` blocks whatever the amount of data, and a block is at least as long as the longest record; the schedule
-is that small, records find their block by a join.
+share.  There are about ``BLOCKS`` blocks at most whatever the amount of data, and a block is as long as ``TYPICAL`` records of mean length at
+least; the schedule is that small, records find their block by a join.  Every source gets all the blocks that its quota begins, one at
+least.  A record longer than a block stands in the block of its middle, so the longest record changes no other's place by more than its own
+length and takes no source away.  Records longer than their source's whole quota come after all others of it.
 
 The total is the largest at which every source that has text meets its share within its allowed repeats.
 
@@ -16,6 +18,7 @@ negative or null targets count as 0, null repeats as 1. Repeated rows are record
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ from sextant.session import materialise
 
 #: Blocks of the whole mixture, and ranges of the hash by which each source is laid end to end.
 BLOCKS, RANGES = 4_096, 1_024
+#: Records of mean length in the shortest block.
+TYPICAL = 4
 
 
 def source_name(source: Column) -> Column:
@@ -33,14 +38,15 @@ def source_name(source: Column) -> Column:
 
 
 def schedule(weights: dict[str, float], blocks: int = BLOCKS) -> list[tuple[str, int, int]]:
-    """(source, its block, slot): earliest deadline first among released blocks."""
+    """(source, its block, slot): earliest deadline first among released blocks, until every source has all that its share of ``blocks`` begins."""
     total = sum(weights.values())
     share = {s: w / total for s, w in weights.items() if w > 0}
+    need = {s: max(1, math.ceil(x * blocks - 1e-9)) for s, x in share.items()}
     waiting = [(0.0, s, 0) for s in sorted(share)]  # by release
     ready: list[tuple[float, str, int]] = []  # by deadline
     heapq.heapify(waiting)
     out = []
-    for slot in range(blocks):
+    for slot in range(sum(need.values())):
         while waiting and waiting[0][0] <= slot + 1e-9:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, ((k + 1) / share[s], s, k))
@@ -49,21 +55,22 @@ def schedule(weights: dict[str, float], blocks: int = BLOCKS) -> list[tuple[str,
         else:
             _, s, k = heapq.heappop(ready)
         out.append((s, k, slot))
-        heapq.heappush(waiting, ((k + 1) / share[s], s, k + 1))
+        if k + 1 < need[s]:
+            heapq.heappush(waiting, ((k + 1) / share[s], s, k + 1))
     return out
 
 
 def _laid(records: DataFrame) -> DataFrame:
-    """``records`` (doc_id, source, n_tokens) with ``at``: tokens of the source before each, in the order of a hash.
+    """``records`` (doc_id, source, n_tokens, quota) with ``at``: tokens of the source before each, in the order of a hash.
 
-    Sums by ranges of the hash come first, so that no source is laid out in one task.
+    Records longer than the quota come last.  Sums by ranges of the hash come first, so that no source is laid out in one task.
     """
     h = F.xxhash64("doc_id")
-    keyed = records.withColumns({"h": h, "range": F.pmod(F.shiftrightunsigned(h, 40), F.lit(RANGES)).cast("int")})
-    keyed = materialise(keyed, "mixing-records")
+    late = F.when(F.col("n_tokens") > F.col("quota"), RANGES).otherwise(0)
+    keyed = records.withColumns({"h": h, "range": (F.pmod(F.shiftrightunsigned(h, 40), F.lit(RANGES)) + late).cast("int")})
     sums = keyed.groupBy("source", "range").agg(F.sum("n_tokens").alias("t"))
     w = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("source", "range", F.coalesce(F.sum("t").over(w), F.lit(0)).alias("before"))  # at most sources x RANGES rows
+    before = sums.select("source", "range", F.coalesce(F.sum("t").over(w), F.lit(0)).alias("before"))  # at most 2 x sources x RANGES rows
     inside = Window.partitionBy("source", "range").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return keyed.join(before, ["source", "range"]).select("doc_id", "source", "n_tokens", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("at"))
 
@@ -78,24 +85,28 @@ def mix(records: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFra
         source_name(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("w"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("reps")
     ).groupBy("source").agg(F.sum("w").alias("w"), F.max("reps").alias("reps"))
     own = records.filter("doc_id is not null and source is not null and n_tokens > 0").select("doc_id", source_name(F.col("source")).alias("source"), F.col("n_tokens").cast("long").alias("n_tokens"))
-    laid = materialise(_laid(own.join(F.broadcast(goal.select("source")), "source", "left_semi")), "mixing-laid")
-    have = laid.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("longest")).join(goal.filter("w > 0"), "source").collect()  # one row per target
+    own = materialise(own.join(F.broadcast(goal.select("source")), "source", "left_semi"), "mixing-records")
+    have = own.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).join(goal.filter("w > 0"), "source").collect()  # one row per target
     schema = "position long, slot int, source string, doc_id long, repeat int, n_tokens long"
     if not have:
         return spark.createDataFrame([], schema)
     weight = sum(r["w"] for r in have)
     total = min(r["tokens"] * r["reps"] * weight / r["w"] for r in have)
-    blocks = max(1, min(blocks, int(total // max(r["longest"] for r in have))))
-    slots = spark.createDataFrame(schedule({r["source"]: r["w"] for r in have}, blocks), "source string, block int, slot int")
-    quota = spark.createDataFrame([(r["source"], int(r["tokens"]), total * r["w"] / weight, total / blocks) for r in have], "source string, tokens long, quota double, size double")
+    mean = sum(r["tokens"] for r in have) / sum(r["n"] for r in have)
+    blocks = max(1, min(blocks, int(total // (TYPICAL * mean))))
+    order = schedule({r["source"]: r["w"] for r in have}, blocks)
+    last = {s: k for s, k, _ in order}
+    slots = spark.createDataFrame(order, "source string, block int, slot int")
+    quota = spark.createDataFrame([(r["source"], int(r["tokens"]), total * r["w"] / weight, total / blocks, last[r["source"]]) for r in have], "source string, tokens long, quota double, size double, last int")
+    laid = materialise(_laid(own.join(F.broadcast(quota.select("source", "quota")), "source")), "mixing-laid")
     repeated = laid.join(F.broadcast(quota), "source").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil(F.col("quota") / F.col("tokens")) - 1).cast("int")))))
     start = F.col("repeat") * F.col("tokens") + F.col("at")
-    # a record belongs to the block in which its middle lies
+    # a record belongs to the block in which its middle lies; ``last`` only holds against rounding
     mid = start + F.col("n_tokens") / 2
-    taken = repeated.withColumns({"start": start, "mid": mid}).filter(F.col("mid") < F.col("quota")).withColumn("block", F.floor(F.col("mid") / F.col("size")).cast("int"))
-    last = slots.groupBy("source").agg(F.max("block").alias("last"))  # shares are no whole numbers of blocks: the rest goes to the last one
-    taken = taken.join(F.broadcast(last), "source").withColumn("block", F.least("block", "last"))
-    placed = taken.join(F.broadcast(slots), ["source", "block"])
+    taken = repeated.withColumns({"start": start, "mid": mid}).filter(F.col("mid") < F.col("quota")).withColumn("block", F.least(F.floor(F.col("mid") / F.col("size")).cast("int"), "last"))
+    # no record that was taken may be without a slot
+    lost = F.raise_error(F.concat(F.lit("no slot for a block of "), F.col("source"))).cast("int")
+    placed = taken.join(F.broadcast(slots), ["source", "block"], "left").withColumn("slot", F.coalesce("slot", lost))
     # positions: sums of slots first, then inside each slot
     counts = placed.groupBy("slot").agg(F.count("*").alias("n"))
     w = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

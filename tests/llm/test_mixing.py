@@ -48,3 +48,22 @@ def test_nothing_to_mix(mixed):
     records, targets, _ = mixed
     assert M.mix(records.limit(0), targets).count() == 0
     assert M.mix(records, targets.limit(0)).count() == 0
+
+
+def test_one_long_text_takes_no_source_away(spark):
+    small = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l"]
+    rows = [(1000 * j + i, s, 10) for j, s in enumerate(small) for i in range(200)] + [(99_999, "long", 1000)] + [(50_000 + i, "long", 10) for i in range(20)]
+    records = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([(s, 0.02 + 0.01 * j, 1) for j, s in enumerate(small)] + [("long", 0.1, 1)], "source string, target_share double, max_repeats int")
+    out = M.mix(records, targets)
+    got = {r["source"]: r for r in M.shares(out, targets).collect()}
+    weight = sum(0.02 + 0.01 * j for j in range(len(small))) + 0.1
+    assert all(abs(r["share"] - r["target_share"] / weight) < 0.01 for r in got.values())
+    assert got["long"]["n_tokens"] > 0 and got["a"]["n_tokens"] > 0
+
+
+def test_every_source_gets_the_blocks_that_its_share_begins():
+    w = {"a": 0.9, "b": 0.07, "c": 0.03}
+    out = M.schedule(w, 5)
+    assert {s: sum(x == s for x, _, _ in out) for s in w} == {"a": 5, "b": 1, "c": 1}
+    assert [slot for _, _, slot in out] == list(range(7))
