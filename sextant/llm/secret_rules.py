@@ -71,7 +71,7 @@ _HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32,64})$"
 def is_live(value: str, quoted: bool = True) -> bool:
     """Whether a value could work as it stands: no placeholder, mask, reference, label or plain word."""
     v = value.strip()
-    if len(v) < 6 or len(v) > 400 or any(c.isspace() for c in v):
+    if len(v) < 6 or any(c.isspace() for c in v):
         return False
     if v[-1] in ":,(" or PLACEHOLDER.search(v) or REFERENCE.match(v):
         return False
@@ -116,13 +116,13 @@ _TAIL = (
     "(?i:" + "|".join(sorted({*SECRET_TAILS, "key"} - set(_SHORT), key=len, reverse=True)) + r"|(?:" + "|".join(_SHORT) + r")(?=[\"'`\s=:\],)]))"
 )
 _ANCHORS = tuple(sorted({*SECRET_TAILS, "key"}))
-_LITERAL = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){6,400})(?P=q)"
+_LITERAL = r"(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){6,})(?P=q)"
 _TYPE = r"(?:\s*:\s*[A-Za-z_][\w.]*(?:\[\w+\])?|\s+\*?string|\[\d*\])?"
 
 RULES = (
     Rule(
         "private_key",
-        re.compile(r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.{20,8000}?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", re.S),
+        re.compile(r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"),  # :func:`_key_end` finds the other mark
     ),
     Rule(
         "issued_token",
@@ -186,9 +186,11 @@ RULE_NAMES = tuple(r.name for r in RULES)
 
 # Extensions of program text, where a value without quotes is an expression.
 CODE_FILES = (".go", ".py", ".js", ".java", ".c", ".h", ".ts", ".jsx", ".tsx", ".rs", ".rb", ".php", ".scala", ".cpp", ".cc", ".hpp")
-#: More adjacent literals than this are embedded data, not one value.
-JOINED = 5
-_JOIN = re.compile(r"\s*\+?\s*(?:\\\s*)?(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){4,400})(?P=q)")
+#: How files of pictures, fonts, programs and archives begin, in base64 or hex: embedded data, not a value split over literals.
+_DATA = re.compile(r"iVBORw0KGgo|/9j/|R0lGOD|UklGR|d09G[RM]|AAEAAAA|T1RUTw|JVBERi0|UEsDB|H4sIA|QlpoO|f0VMR|TVqQ|AGFzbQ|89504e47|ffd8ff|47494638|504b0304|1f8b08|7f454c46|0061736d", re.I)
+_DATA_FILE = re.compile(r"(?i)(?:^|[/_.\-])(?:data|assets?|blobs?|bindata|embed(?:ded)?|icons?|fonts?|images?)(?:[_\-][^/.]*)?\.\w+$")
+_KEY_MARK = re.compile(r"-----(?P<kind>BEGIN|END) (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_JOIN = re.compile(r"\s*\+?\s*(?:\\\s*)?(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.)+)(?P=q)")
 _COMMENT = re.compile(r"(?://|#|/\*|^\s*\*|--|<!--|\"\"\")")
 _OPTION_NAMES = frozenset("p password passwd pass pw pwd token secret api-key apikey access-token auth-token secret-key client-secret passphrase private-token auth".split())
 _SECRET_TALK = re.compile(r"(?i)pass(?:word|phrase|wd|code)|secret|token|credential|kennwort|api.?key|login")
@@ -236,6 +238,37 @@ def _comment_part(code: str, start: int) -> bool:
     return bool(_COMMENT.search(line))
 
 
+def _key_end(code: str, begin: re.Match) -> int | None:
+    """The end of the END line that belongs to a BEGIN line, however long the key; None if another key begins first or nothing lies between."""
+    m = _KEY_MARK.search(code, begin.end("v"))
+    if m and m.group("kind") == "END" and m.start() - begin.end("v") >= 20:
+        return m.end()
+    return None
+
+
+def _is_data(code: str, path: str, parts: list[tuple[int, int]]) -> bool:
+    """Whether joined literals are an embedded file by their content, whatever their number.
+
+    Either they begin as a known kind of file does, or they are base64 in full rows of an encoder's width and the file's name
+    says data or the "name" was the end of the row before; in doubt they are a value.
+    """
+    values = [code[s:e] for s, e in parts]
+    head = code[: parts[0][0] - 1].rstrip(" \t\r\n+\\")
+    if head[-1:] in ("'", '"', "`"):
+        row = head[head.rfind(head[-1], 0, -1) + 1 : -1]
+        if len(row) >= max(60, len(values[0])) and re.fullmatch(r"[A-Za-z0-9+/]+", row):
+            return True
+    if len(values) < 2:
+        return False
+    if _DATA.match(values[0]):
+        return True
+    width, whole = len(values[0]), "".join(values)
+    rows = len(values) > 2 and width >= 60 and width % 4 == 0 and all(len(v) == width for v in values[:-1]) and len(values[-1]) <= width
+    if not rows or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", whole) or "+" not in whole or "/" not in whole:
+        return False
+    return bool(_DATA_FILE.search(path))
+
+
 def find(code: str, path: str, rules: tuple[int, ...] = tuple(range(len(RULES)))) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the credentials in one chunk: spans of values alone, without overlap, in order."""
     taken: list[tuple[int, int, str]] = []
@@ -256,9 +289,10 @@ def find(code: str, path: str, rules: tuple[int, ...] = tuple(range(len(RULES)))
         while (j := _JOIN.match(code, at)) and re.search(r"[+\n]", code[at : j.start("q")]) and re.fullmatch(r"[\w+/=.\-!#$%^&*@~]+", j.group("v")):
             parts.append(j.span("v"))
             at = j.end()
-        if len(parts) <= JOINED:
-            for start, end in parts:
-                add(start, end, rule)
+        if _is_data(code, path, parts):
+            return
+        for start, end in parts:
+            add(start, end, rule)
 
     for i in rules:
         rule = RULES[i]
@@ -266,7 +300,8 @@ def find(code: str, path: str, rules: tuple[int, ...] = tuple(range(len(RULES)))
             v = m.group("v")
             name = rule.name
             if name == "private_key":
-                add(m.start("v"), m.end("v"), name)
+                if end := _key_end(code, m):
+                    add(m.start("v"), end, name)
             elif name == "issued_token":
                 v2 = v.rstrip(".-/")
                 body = re.sub(rf"^(?:{TOKEN_PREFIXES})", "", v2)
