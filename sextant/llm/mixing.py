@@ -8,7 +8,9 @@ least; the schedule is that small, records find their block by a join.  Every so
 least.  A record longer than a block stands in the block of its middle, so the longest record changes no other's place by more than its own
 length and takes no source away.  Records longer than their source's whole quota come after all others of it.
 
-The total is the largest at which every source that has text meets its share within its allowed repeats.
+Without a stated total, it is the largest at which every source that has text meets its share within its allowed repeats; the scarcest
+source then limits all, and :func:`shares` names it and what the others leave unused.  With a stated total, sources that are exhausted
+fall short and the others share the remainder by their weights.
 
 Defined results: sources are compared in lower case without outer white space; records without source, text or id, or of a source
 without target, are left out; targets without any text get nothing and the others keep their proportions;
@@ -75,29 +77,56 @@ def _laid(records: DataFrame) -> DataFrame:
     return keyed.join(before, ["source", "range"]).select("doc_id", "source", "n_tokens", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("at"))
 
 
-def mix(records: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """(position, slot, source, doc_id, repeat, n_tokens): the mixture in order.
+def quotas(have: dict[str, tuple[float, float]], total: float | None = None) -> dict[str, float]:
+    """Tokens for each source of ``have`` (weight, tokens with all repeats).
 
-    ``records``: (doc_id, source, n_tokens); ``targets``: (source, target_share, max_repeats).
+    Without ``total`` the largest with all shares met; else sources fill up by their weights until ``total`` or all text is reached.
     """
-    spark = records.sparkSession
-    goal = targets.filter("source is not null").select(
+    if total is None:
+        level = min(float(most) / w for w, most in have.values())
+        return {s: w * level for s, (w, _) in have.items()}
+    out, rest, weight = {}, float(total), sum(w for w, _ in have.values())
+    for s, (w, most) in sorted(have.items(), key=lambda x: x[1][1] / x[1][0]):  # exhausted first
+        out[s] = min(float(most), max(0.0, rest) * w / weight)
+        rest, weight = rest - out[s], weight - w
+    return {s: q for s, q in out.items() if q > 0}
+
+
+def _goal(targets: DataFrame) -> DataFrame:
+    """(source, w, reps): one row for each target."""
+    return targets.filter("source is not null").select(
         source_name(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("w"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("reps")
     ).groupBy("source").agg(F.sum("w").alias("w"), F.max("reps").alias("reps"))
-    own = records.filter("doc_id is not null and source is not null and n_tokens > 0").select("doc_id", source_name(F.col("source")).alias("source"), F.col("n_tokens").cast("long").alias("n_tokens"))
-    own = materialise(own.join(F.broadcast(goal.select("source")), "source", "left_semi"), "mixing-records")
+
+
+def _own(records: DataFrame) -> DataFrame:
+    """The records that can be mixed."""
+    return records.filter("doc_id is not null and source is not null and n_tokens > 0").select("doc_id", source_name(F.col("source")).alias("source"), F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+def mix(records: DataFrame, targets: DataFrame, blocks: int = BLOCKS, total: float | None = None) -> DataFrame:
+    """(position, slot, source, doc_id, repeat, n_tokens): the mixture in order.
+
+    ``records``: (doc_id, source, n_tokens); ``targets``: (source, target_share, max_repeats); ``total``: tokens wanted.
+    """
+    spark = records.sparkSession
+    goal = _goal(targets)
+    own = materialise(_own(records).join(F.broadcast(goal.select("source")), "source", "left_semi"), "mixing-records")
     have = own.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).join(goal.filter("w > 0"), "source").collect()  # one row per target
     schema = "position long, slot int, source string, doc_id long, repeat int, n_tokens long"
     if not have:
         return spark.createDataFrame([], schema)
-    weight = sum(r["w"] for r in have)
-    total = min(r["tokens"] * r["reps"] * weight / r["w"] for r in have)
+    given = quotas({r["source"]: (r["w"], r["tokens"] * r["reps"]) for r in have}, total)
+    have = [r for r in have if r["source"] in given]
+    if not have:
+        return spark.createDataFrame([], schema)
+    total = sum(given.values())
     mean = sum(r["tokens"] for r in have) / sum(r["n"] for r in have)
     blocks = max(1, min(blocks, int(total // (TYPICAL * mean))))
-    order = schedule({r["source"]: r["w"] for r in have}, blocks)
+    order = schedule(given, blocks)
     last = {s: k for s, k, _ in order}
     slots = spark.createDataFrame(order, "source string, block int, slot int")
-    quota = spark.createDataFrame([(r["source"], int(r["tokens"]), total * r["w"] / weight, total / blocks, last[r["source"]]) for r in have], "source string, tokens long, quota double, size double, last int")
+    quota = spark.createDataFrame([(r["source"], int(r["tokens"]), given[r["source"]], total / blocks, last[r["source"]]) for r in have], "source string, tokens long, quota double, size double, last int")
     laid = materialise(_laid(own.join(F.broadcast(quota.select("source", "quota")), "source")), "mixing-laid")
     repeated = laid.join(F.broadcast(quota), "source").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.ceil(F.col("quota") / F.col("tokens")) - 1).cast("int")))))
     start = F.col("repeat") * F.col("tokens") + F.col("at")
@@ -116,13 +145,23 @@ def mix(records: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> DataFra
     return out.select((F.col("before") + F.row_number().over(inside) - 1).alias("position"), "slot", "source", "doc_id", "repeat", "n_tokens")
 
 
-def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, n_records, n_tokens, share, most_repeats): what each target got."""
+def shares(mixture: DataFrame, targets: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """(source, target_share, n_records, n_tokens, share, most_repeats): what each target got.
+
+    With ``records`` also available (tokens with all repeats), unused (of them) and limits (the source with the least text for its target).
+    """
     goal = targets.filter("source is not null").select(source_name(F.col("source")).alias("source"), F.col("target_share")).groupBy("source").agg(F.sum("target_share").alias("target_share"))
     per = mixture.groupBy("source").agg(F.count("*").alias("n_records"), F.sum("n_tokens").alias("n_tokens"), (F.max("repeat") + 1).alias("most_repeats"))
     whole = Window.partitionBy(F.lit(1))  # one row per target
     out = goal.join(per, "source", "left").withColumn("all_tokens", F.sum("n_tokens").over(whole))
-    return out.select(
+    columns = [
         "source", "target_share", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
         F.coalesce(F.round(F.col("n_tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
-    )
+    ]
+    if records is not None:
+        text = _own(records).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+        text = text.join(_goal(targets), "source").select("source", (F.col("tokens") * F.col("reps")).alias("most"), F.when(F.col("w") > 0, F.col("tokens") * F.col("reps") / F.col("w")).alias("level"))
+        out = out.join(text, "source", "left").withColumn("least", F.min("level").over(whole))
+        most = F.coalesce("most", F.lit(0))
+        columns += [most.alias("available"), (most - F.coalesce("n_tokens", F.lit(0))).alias("unused"), F.coalesce(F.col("level") == F.col("least"), F.lit(False)).alias("limits")]
+    return out.select(*columns)

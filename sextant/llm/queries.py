@@ -84,17 +84,18 @@ def p7_utilisation(spark: SparkSession, sf: str) -> DataFrame:
     return packing.utilisation(p7_packing(spark, sf))
 
 
-def _mixture(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = tokens.token_counts(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
-    return mixing.mix(sizes, read_table(spark, sf, "mix_targets"))
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.token_counts(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return _mixture(spark, sf)
+    return mixing.mix(_sizes(spark, sf), read_table(spark, sf, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.shares(_mixture(spark, sf), read_table(spark, sf, "mix_targets"))
+    """What each target got, which source limits the mixture and how much text is left unused."""
+    sizes, targets = materialise(_sizes(spark, sf), "mixing-sizes"), read_table(spark, sf, "mix_targets")
+    return mixing.shares(mixing.mix(sizes, targets), targets, sizes)
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

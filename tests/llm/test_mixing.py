@@ -67,3 +67,17 @@ def test_every_source_gets_the_blocks_that_its_share_begins():
     out = M.schedule(w, 5)
     assert {s: sum(x == s for x, _, _ in out) for s in w} == {"a": 5, "b": 1, "c": 1}
     assert [slot for _, _, slot in out] == list(range(7))
+
+
+def test_exhausted_sources_fall_short_of_a_stated_total(spark):
+    have = {"a": (0.5, 1000.0), "b": (0.48, 1000.0), "c": (0.02, 20.0)}
+    assert M.quotas(have) == pytest.approx({"a": 500, "b": 480, "c": 20})
+    assert M.quotas(have, 1500) == pytest.approx({"a": 1480 * 0.5 / 0.98, "b": 1480 * 0.48 / 0.98, "c": 20})
+    assert M.quotas(have, 10_000) == {"a": 1000, "b": 1000, "c": 20}
+    rows = [(i, "a", 10) for i in range(100)] + [(1000 + i, "b", 10) for i in range(100)] + [(5000, "c", 10)]
+    records = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.48, 1), ("c", 0.02, 2)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in M.shares(M.mix(records, targets, total=10_000), targets, records).collect()}
+    assert {s: r["n_tokens"] for s, r in got.items()} == {"a": 1000, "b": 1000, "c": 20} and all(r["unused"] == 0 for r in got.values())
+    got = {r["source"]: r for r in M.shares(M.mix(records, targets), targets, records).collect()}
+    assert {s for s, r in got.items() if r["limits"]} == {"c"} and got["a"]["unused"] == 500 and got["c"]["available"] == 20
