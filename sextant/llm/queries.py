@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import credentials, doc_pairs, mixing, origin, packing, parse_check, pii, tokens
+from sextant.llm import credentials, doc_pairs, mixing, origin, packing, parse_check, pii, similar, splitting, tokens
 from sextant.session import materialise, read_table
 
 
@@ -107,7 +107,57 @@ def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact(read_table(spark, sf, "documents"))
 
 
+#: Share of the sample's true links of at least 0.8 that visited leaves must hold.
+LINK_RECALL = 0.998
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return similar.similar_pairs(similar.usable_vectors(read_table(spark, sf, "embedding_data")), recall=LINK_RECALL)
+
+
+def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose id is divisible by 100, scored by squared distance at unit length."""
+    hits = similar.search(similar.usable_vectors(read_table(spark, sf, "embedding_data")))
+    return hits.select(F.col("a").alias("query_id"), F.col("rank").alias("result_no"), F.col("b").alias("hit_vec_id"), F.round(F.lit(2.0) - 2 * F.col("sim"), 6).alias("score"))
+
+
+def p3_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What the index loses against an exact search of the same queries."""
+    vectors = similar.usable_vectors(read_table(spark, sf, "embedding_data"))
+    return similar.loss(similar.search(vectors), similar.search(vectors, exact=True))
+
+
+def p3_usable(spark: SparkSession, sf: str) -> DataFrame:
+    return similar.usable_vectors(read_table(spark, sf, "embedding_data")).select("vec_id").distinct()
+
+
+def _profile(spark: SparkSession, sf: str, name: str) -> tuple[int, int]:
+    row = read_table(spark, sf, "size_profiles").filter(F.col("profile") == name).select("capacity", "overlap").first()
+    return int(row[0]), int(row[1])
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    capacity, overlap = _profile(spark, sf, "chunk_split")
+    return splitting.split_oversized(read_table(spark, sf, "code_chunks"), capacity, overlap).select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of every oversized chunk."""
+    capacity, overlap = _profile(spark, sf, "chunk_split")
+    out = splitting.split_oversized(read_table(spark, sf, "code_chunks"), capacity, overlap)
+    return out.select(F.col("id").alias("chunk_id"), F.col("path").alias("file_path"), "piece_no", "line_start", "line_end", "char_start", "char_end", "piece")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p9_found, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p9_found, p9_redacted)
+}
+SQL: dict[str, str] = {
+    "p3_usable": """
+        SELECT DISTINCT vec_id FROM embedding_data
+        WHERE vec_id IS NOT NULL AND len(embedding) = 96
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
+    "p6_found": """
+        SELECT DISTINCT chunk_id FROM code_chunks
+        WHERE chunk_id IS NOT NULL AND length(code) > (SELECT capacity FROM size_profiles WHERE profile = 'chunk_split')""",
 }
-SQL: dict[str, str] = {}
