@@ -1,7 +1,6 @@
 """Approximate search from Spark's own clustering and hashing: IVF-Flat, IVF-PQ and LSH.
 
-Models are fitted on at most ``FIT_ROWS`` rows (chosen by hash); every row is indexed.  The tree in
-:mod:`sextant.operators.kmeans_tree` is the index for searching many queries at once; these serve one query.
+Models are fitted on at most ``FIT_ROWS`` rows (chosen by hash); every row is indexed.  The sample is the only bounded part; these serve one query.
 
 Defined results: rows whose vector is null or of another length are not indexed.
 """

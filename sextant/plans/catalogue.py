@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sextant.plans import reference_queries, training_queries
+from sextant.plans import reference_queries
 
-QUERIES = reference_queries.QUERIES | training_queries.QUERIES
-SQL = reference_queries.SQL | training_queries.SQL
+QUERIES = reference_queries.QUERIES
+SQL = reference_queries.SQL
