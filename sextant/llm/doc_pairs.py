@@ -1,13 +1,17 @@
 """Functions paired with their documentation (problem 5).
 
-Each file that can be read as its language is looked at once, next to the syntax check: comment blocks
-(docstrings in Python) and functions with a body are the two sides of a bipartite graph whose edges carry a cost made
-from distance, parameter tags and names; a minimum-cost assignment links them.  Links with anything but annotations
-or directives between comment and function are implausible and never become edges.  What is left must say something: see
-:func:`informative_words` and :func:`is_code`.
+Each file that can be read as its language is looked at once, next to the syntax check.  Comments and functions with a body are the two
+sides of a bipartite graph.  A function's candidates are its docstring, the comment above it, comments further up behind blank lines,
+the comment above the function before it if that is written for another, and the first comment of its body.  An edge costs what speaks against the link: distance,
+parameter tags that the function lacks, the name of another function of the file at the beginning; tags that fit and the function's own name speak
+for it.  Edges over ``LIMIT`` are implausible and rejected, as are comments that say nothing about the function (:func:`informative_words`,
+:func:`is_code`).  A least-cost assignment, in which leaving a comment alone costs ``LIMIT``, links the rest.
+
+:func:`linked_functions` gives every link with its place; :func:`documented_functions` those whose comment stands where documentation is
+stated to be: the docstring in Python, else directly above, with only annotations and directives between.
 
 Defined results: null contents, null paths, other extensions and files that do not parse give no pair; a file given
-twice gives its pairs twice; functions without a body have none.
+twice gives its pairs twice; functions without a body have none. Functions between ``#else`` and ``#endif`` of C count, those in ``#if 0`` do not.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from sextant.llm.parse_check import all_tables, judged_files, reader
 
 #: Words that a description has at least.
 MIN_WORDS = 4
+#: Cost from which a link is rejected, and blank lines over which a comment further up is looked for.
+LIMIT, WINDOW = 2.5, 3
 
 # Marks of tool directives, to-do marks, tags, and section titles.
 DIRECTIVES = re.compile(
@@ -56,6 +62,7 @@ class Function:
     end: int  # last line, from 0
     signature: str
     params: list[str] = field(default_factory=list)
+    body: int = 0  # line on which the body begins
 
 
 @dataclass
@@ -63,6 +70,7 @@ class Comment:
     start: int
     end: int
     text: str  # without marks, lines kept
+    place: str = "above"  # or docstring, detached, other (above the function before), inside
 
 
 # ------------------------------------------------------------------ descriptions
@@ -175,10 +183,10 @@ _C = re.compile(r"(?![#{}/*\s])(?!(?:return|else|if|for|while|switch|do|typedef|
 _NOT_NAMES = frozenset("if for while switch catch return new else do try synchronized throw function super this with await typeof case assert yield in of".split())
 
 
-def _close(lines: list[str], open_: list[bool], at: int, col: int, lexer, opened: str = "(", limit: int = 4000) -> tuple[int, int] | None:
+def _close(lines: list[str], open_: list[bool], at: int, col: int, lexer) -> tuple[int, int] | None:
     """Line and column behind the bracket that closes the one at (at, col)."""
     depth = 0
-    for ln in range(at, min(len(lines), at + limit)):
+    for ln in range(at, len(lines)):
         text = lines[ln]
         i = col if ln == at else 0
         for m in _BRACKETS.finditer(text, i):
@@ -249,7 +257,7 @@ def _brace_functions(lines: list[str], open_: list[bool], language: str) -> Iter
                 continue
             tail = lines[end_sig[0]][end_sig[1] :]
             if "=>" in tail and not tail.split("=>", 1)[1].strip().startswith("{"):
-                yield Function(name, at, at, end_sig[0], " ".join(x.strip() for x in lines[at : end_sig[0] + 1])[:500], _param_names(line[eq:], language))
+                yield Function(name, at, at, end_sig[0], " ".join(x.strip() for x in lines[at : end_sig[0] + 1]), _param_names(line[eq:], language), end_sig[0])
                 continue
             if not rest.startswith(("function", "async function", "async")) and "=>" not in tail:
                 continue
@@ -261,25 +269,21 @@ def _brace_functions(lines: list[str], open_: list[bool], language: str) -> Iter
                 continue
         # what stands between the parameters and the body
         ln, col = end_sig
-        between = ""
-        for _ in range(12):
-            if ln >= len(lines):
-                break
+        between: list[str] = []
+        while ln < len(lines):
             piece = re.sub(r"//.*|/\*.*?\*/", "", lines[ln][col:])
             cut = piece.find("{")
-            between += " " + (piece if cut < 0 else piece[:cut])
+            between.append(piece if cut < 0 else piece[:cut])
             if cut >= 0:
                 col += lines[ln][col:].index("{")
                 break
-            if ";" in piece or (language == "go" and not re.search(r"[(,]\s*$", piece)):
+            if ";" in piece and (language != "c" or not _old_style(between)) or "}" in piece or (language == "go" and not re.search(r"[(,]\s*$", piece)):
                 ln = -1
                 break
             ln, col = ln + 1, 0
-        else:
-            ln = -1
         if ln < 0 or ln >= len(lines):
             continue
-        between = between.strip()
+        between = " ".join(between).strip()
         if language == "javascript" and between not in ("", "=>"):
             continue
         if language == "java" and between and not between.startswith("throws") and not re.fullmatch(r"[\[\]\s]+", between):
@@ -301,7 +305,13 @@ def _brace_functions(lines: list[str], open_: list[bool], language: str) -> Iter
                 top -= 1
             else:
                 break
-        yield Function(name.lstrip("#"), at, top, stop[0] if stop else ln, " ".join(x.strip() for x in lines[at : ln + 1])[:500], _param_names(" ".join(lines[at2 : end_sig[0] + 1])[:2000], language))
+        yield Function(name.lstrip("#"), at, top, stop[0] if stop else ln, " ".join(x.strip() for x in lines[at : ln + 1]), _param_names(" ".join(lines[at2 : end_sig[0] + 1]), language), ln)
+
+
+def _old_style(between: list[str]) -> bool:
+    """True if what follows C parameters declares them, one type and name after the other, and so belongs to a definition."""
+    text = " ".join(between).strip()
+    return bool(re.fullmatch(r"(?:(?:const |unsigned |signed |struct |register )*[A-Za-z_]\w*[\s*]+[\w\s*,\[\]]+;\s*)+", text))
 
 
 _DOC_QUOTE = re.compile(r"[ \t]*[rRuU]?(\"\"\"|'''|\"|')")
@@ -356,7 +366,7 @@ def _python_functions(lines: list[str], open_: list[bool]) -> Iterator[tuple[Fun
             ln, col = ln + 1, 0
         if not found:
             continue
-        sig = " ".join(x.strip() for x in lines[at : found[0] + 1])[:500]
+        sig = " ".join(x.strip() for x in lines[at : found[0] + 1])
         rest = lines[found[0]][found[1] :]
         indent = len(line) - len(line.lstrip())
         body = found[0] + 1
@@ -375,96 +385,213 @@ def _python_functions(lines: list[str], open_: list[bool]) -> Iterator[tuple[Fun
                 break
             if lines[k].strip():
                 end = k
-        fn = Function(m.group(1), at, at, end, sig, _param_names(sig, "python"))
-        yield fn, Comment(doc[0], doc[1], doc[2]) if doc else None
+        top = at
+        while top > 0 and not open_[top - 1] and lines[top - 1].lstrip().startswith("@"):
+            top -= 1
+        fn = Function(m.group(1), at, top, end, sig, _param_names(sig, "python"), body)
+        yield fn, Comment(doc[0], doc[1], doc[2], "docstring") if doc else None
 
 
-# ------------------------------------------------------------------ assignment
+# ------------------------------------------------------------------ candidates
+
+_TAGS = re.compile(r"(?:[@\\]param(?:\[\w+\])?|:param)\s+(?:\{[^}]*\}\s*|[A-Za-z_][\w.]*\s+(?=\w+:))?[*&]*(\w+)")
+_FIRST = re.compile(r"[^\w]*(?:[@\\]brief\s+)?([\w$]+)")
+
+
+def _hashes_above(lines: list[str], open_: list[bool], top: int) -> Comment | None:
+    """The block of Python comments that ends on the line above ``top``."""
+    at = top
+    while at > 0 and not open_[at - 1] and lines[at - 1].lstrip().startswith("#"):
+        at -= 1
+    if at == top:
+        return None
+    return Comment(at, top - 1, "\n".join(re.sub(r"^\s*#+ ?", "", x) for x in lines[at:top]))
 
 
-def link_cost(c: Comment, f: Function) -> float | None:
-    """Cost of a link, None if it is implausible: parameter tags of the comment that the function lacks raise it, its own name lowers it."""
-    tags = re.findall(r"(?:[@\\]param|:param)\s+(?:\{[^}]*\}\s*)?(\w+)", c.text)
-    missing = sum(t not in f.params for t in tags)
-    cost = abs(f.top - 1 - c.end) + 0.5 * missing
-    if f.name.lower() in c.text.lower():
-        cost -= 1
-    return cost
+def _above(lines: list[str], open_: list[bool], top: int, language: str) -> Comment | None:
+    return _hashes_above(lines, open_, top) if language == "python" else comments_above(lines, open_, top)
 
 
-def assign(edges: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
-    """Minimum-cost assignment of comments to functions: most links first, then the lowest sum (shortest augmenting paths)."""
-    by_left: dict[int, list[tuple[int, float]]] = {}
-    for (a, b), w in edges.items():
-        by_left.setdefault(a, []).append((b, w))
-    left_of: dict[int, int] = {}
+def _detached(lines: list[str], open_: list[bool], top: int, language: str) -> Comment | None:
+    """The comment above one to ``WINDOW`` blank lines above ``top``."""
+    at = top
+    while at > 0 and top - at < WINDOW and not open_[at - 1] and not lines[at - 1].strip():
+        at -= 1
+    c = _above(lines, open_, at, language) if at < top else None
+    if c:
+        c.place = "detached"
+    return c
+
+
+def _inside(lines: list[str], open_: list[bool], f: Function, language: str) -> Comment | None:
+    """The comment that the body begins with."""
+    at = f.body + (0 if language == "python" else 1)
+    if language == "python":  # comments before the first statement
+        while at > f.line and lines[at - 1].lstrip().startswith("#"):
+            at -= 1
+    mark = "#" if language == "python" else "/"
+    stop = at
+    while stop <= f.end and stop < len(lines) and (lines[stop].lstrip().startswith(mark) or open_[stop]):
+        stop += 1
+    c = _above(lines, open_, stop, language) if stop > at else None
+    if c and c.start >= at:
+        c.place = "inside"
+        return c
+    return None
+
+
+def foreign(c: Comment, f: Function, names: frozenset[str]) -> bool:
+    """True if a comment looks written for another function: it begins with another's name, or has tags of which none fits."""
+    first = _FIRST.match(c.text)
+    if first and first.group(1) != f.name and first.group(1) in names:
+        return True
+    tags = _TAGS.findall(c.text) if "param" in c.text else ()
+    return bool(tags) and not any(t in f.params for t in tags)
+
+
+def link_cost(c: Comment, f: Function, names: frozenset[str] = frozenset()) -> float | None:
+    """Cost of a link, None if it is implausible. ``names``: of the file's functions."""
+    cost = 0.0
+    if c.place == "detached":
+        cost += 2.75 + 0.25 * (f.top - 1 - c.end)
+    elif c.place == "other":
+        cost += 4.0
+    elif c.place == "inside":
+        cost += 3.5
+    tags = _TAGS.findall(c.text) if "param" in c.text else ()
+    if tags:
+        fit = sum(t in f.params for t in tags)
+        cost += min(1.5, 0.5 * (len(tags) - fit)) - min(1.5, 0.75 * fit)
+    first = _FIRST.match(c.text)
+    if first and first.group(1) == f.name:
+        cost -= 2.5
+    elif first and first.group(1) in names:
+        cost += 1.5
+    elif f.name in c.text:
+        cost -= 1.0
+    if c.place in ("above", "docstring"):  # where documentation stands a link is always plausible
+        return min(cost, LIMIT - 0.25)
+    return cost if cost < LIMIT else None
+
+
+def edges_of(functions: list[Function], own: dict[int, Comment], lines: list[str], open_: list[bool], language: str) -> tuple[list[Comment], dict[tuple[int, int], float], dict[tuple[int, int], str]]:
+    """Comments, the costs of plausible links (comment, function), and where the comment stands for the function. ``own``: comments that stand where documentation should.
+
+    Only functions whose own comment says nothing about them, or is missing, or looks written for another, look further.
+    """
+    names = frozenset(f.name for f in functions)
+    order: list[Comment] = []
+    index: dict[tuple[int, int], int] = {}
+    edges: dict[tuple[int, int], float] = {}
+    places: dict[tuple[int, int], str] = {}
+
+    def edge(c: Comment | None, k: int) -> None:
+        if c is None or not is_informative(c.text, functions[k].name):
+            return
+        cost = link_cost(c, functions[k], names)
+        if cost is not None:
+            at = index.setdefault((c.start, c.end), len(index))
+            if at == len(order):
+                order.append(c)
+            if cost < edges.get((at, k), LIMIT):
+                edges[(at, k)], places[(at, k)] = cost, c.place
+
+    strange: Comment | None = None  # the comment above the function before, if it looks written for another
+    for k, f in enumerate(functions):
+        c = own.get(k)
+        edge(c, k)
+        odd = c is not None and foreign(c, f, names)
+        if c is None or odd or (index.get((c.start, c.end)), k) not in edges:
+            if c is None or c.place == "docstring":
+                if language == "python":
+                    near = _above(lines, open_, f.top, language)
+                    if near:
+                        near.place = "detached"
+                    edge(near, k)
+                edge(_detached(lines, open_, f.top, language), k)
+            else:
+                edge(_detached(lines, open_, c.start, language), k)
+            if strange is not None:
+                edge(Comment(strange.start, strange.end, strange.text, "other"), k)
+            if c is None or c.place != "docstring":
+                edge(_inside(lines, open_, f, language), k)
+        strange = c if odd else None
+    return order, edges, places
+
+
+# ------------------------------------------------------------------ assignment
+
+
+def assign(edges: dict[tuple[int, int], float], alone: float = LIMIT) -> list[tuple[int, int]]:
+    """Least-cost assignment of comments to functions, in which a comment may be left alone at the cost ``alone`` (shortest augmenting paths)."""
+    by_left: dict[int, list[int]] = {}
+    degree: dict[int, int] = {}
+    for a, b in edges:
+        by_left.setdefault(a, []).append(b)
+        degree[b] = degree.get(b, 0) + 1
+    holder: dict[int, int] = {}  # function -> comment
     for a in sorted(by_left):
-        dist, back, todo, best = {}, {}, [(0.0, a)], None
-        reach = {a: 0.0}
-        while todo:
-            todo.sort()
-            d, x = todo.pop(0)
-            for b, w in by_left[x]:
-                held = left_of.get(b)
-                if held == x:
+        if len(by_left[a]) == 1 and degree[by_left[a][0]] == 1:  # nothing to choose
+            if edges[(a, by_left[a][0])] < alone:
+                holder[by_left[a][0]] = a
+            continue
+        # cheapest way to place ``a``: along alternating paths to a free function, or to a comment that is left alone instead
+        dist, back, waiting = {a: 0.0}, {a: None}, [a]
+        best, last, dropped = alone, None, a
+        while waiting:
+            x = waiting.pop()
+            for b in by_left[x]:
+                y = holder.get(b)
+                if y == x:
                     continue
-                nd = d + w
-                if b not in dist or nd < dist[b]:
-                    dist[b], back[b] = nd, x
-                    if held is None:
-                        best = b if best is None or nd < dist[best] else best
-                    else:
-                        nx = nd - edges[(held, b)]
-                        if held not in reach or nx < reach[held] - 1e-12:
-                            reach[held] = nx
-                            todo.append((nx, held))
-        b = best
-        while b is not None:
-            x = back[b]
-            old = next((k for k, v in left_of.items() if v == x), None)
-            left_of[b] = x
-            if x == a:
-                break
-            b = old
-            if b is not None:
-                left_of.pop(b, None)
-    return sorted((a, b) for b, a in left_of.items())
+                d = dist[x] + edges[(x, b)]
+                if y is None:
+                    if d < best - 1e-12:
+                        best, last, dropped = d, (x, b), None
+                    continue
+                d -= edges[(y, b)]
+                if d < dist.get(y, float("inf")) - 1e-12:
+                    dist[y], back[y] = d, (x, b)
+                    waiting.append(y)
+                    if d + alone < best - 1e-12:
+                        best, last, dropped = d + alone, None, y
+        step = back[dropped] if dropped is not None else last
+        while step is not None:
+            x, b = step
+            holder[b] = x
+            step = back[x]
+    return sorted((a, b) for b, a in holder.items())
 
 
 def pairs_of(text: str, language: str, open_: list[bool]) -> Iterator[tuple[Function, Comment]]:
     """Linked and informative pairs of one file. ``open_``: which lines begin inside a comment or string."""
-    lines = [x.removesuffix("\r") for x in text.removeprefix("﻿").split("\n")]
+    lines = [x.removesuffix("\r") for x in text.removeprefix("\ufeff").split("\n")]
     open_ = open_ + [False] * (len(lines) - len(open_))
-    functions, comments, edges = [], {}, {}
+    functions: list[Function] = []
+    own: dict[int, Comment] = {}
     if language == "python":
         for f, c in _python_functions(lines, open_):
-            functions.append(f)
             if c:
-                comments[(c.start, c.end)] = c
-                edges[(len(comments) - 1, len(functions) - 1)] = 0.0
-        order = list(comments.values())
+                own[len(functions)] = c
+            functions.append(f)
     else:
-        index: dict[tuple[int, int], int] = {}
-        order = []
         for f in _brace_functions(lines, open_, language):
+            if c := comments_above(lines, open_, f.top):
+                own[len(functions)] = c
             functions.append(f)
-            c = comments_above(lines, open_, f.top)
-            if c and (cost := link_cost(c, f)) is not None:
-                k = index.setdefault((c.start, c.end), len(index))
-                if k == len(order):
-                    order.append(c)
-                edges[(k, len(functions) - 1)] = cost
-    # most comments have one candidate; only shared ones need the search
+    order, edges, places = edges_of(functions, own, lines, open_, language)
     for a, b in assign(edges):
-        if is_informative(order[a].text, functions[b].name):
-            yield functions[b], order[a]
+        yield functions[b], Comment(order[a].start, order[a].end, order[a].text, places[(a, b)])
 
 
-def documented_functions(files: DataFrame) -> DataFrame:
-    """(path, lang, fn_name, line_start, line_end, signature, doc, code) of the documented functions of ``files`` (path, content)."""
+def linked_functions(files: DataFrame) -> DataFrame:
+    """(path, lang, fn_name, line_start, line_end, signature, doc, code, place) of every link in ``files`` (path, content).
+
+    ``place``: docstring, above, detached (behind blank lines; in Python any comment above), other (above the function before) or inside.
+    """
     tables = all_tables(files.sparkSession)
-    names = ["path", "lang", "fn_name", "line_start", "line_end", "signature", "doc", "code"]
-    kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()] * 3
+    names = ["path", "lang", "fn_name", "line_start", "line_end", "signature", "doc", "code", "place"]
+    kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()] * 4
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,11 +603,16 @@ def documented_functions(files: DataFrame) -> DataFrame:
                     continue
                 lines = text.split("\n")
                 for f, c in pairs_of(text, lang, open_):
-                    row = (path, lang, f.name, f.line + 1, f.end + 1, f.signature, c.text.strip(), "\n".join(lines[f.line : f.end + 1]))
+                    row = (path, lang, f.name, f.line + 1, f.end + 1, f.signature, c.text.strip(), "\n".join(lines[f.line : f.end + 1]), c.place)
                     for col, v in zip(cols, row, strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], schema=schema)
 
     return judged_files(files).mapInArrow(
-        extract, "path string, lang string, fn_name string, line_start int, line_end int, signature string, doc string, code string"
+        extract, "path string, lang string, fn_name string, line_start int, line_end int, signature string, doc string, code string, place string"
     )
+
+
+def documented_functions(files: DataFrame) -> DataFrame:
+    """The links whose comment is a docstring or stands directly above, without the column ``place``."""
+    return linked_functions(files).filter("place in ('docstring', 'above')").drop("place")

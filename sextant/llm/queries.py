@@ -63,6 +63,12 @@ def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return doc_pairs.documented_functions(read_table(spark, sf, "source_files"))
 
 
+def p5_link_places(spark: SparkSession, sf: str) -> DataFrame:
+    """How many comments were linked from where, per language: beyond those that stand where documentation should."""
+    links = doc_pairs.linked_functions(read_table(spark, sf, "source_files")).distinct()
+    return links.groupBy("lang", "place").agg(F.count("*").alias("n_links"), F.countDistinct("path").alias("n_files"))
+
+
 def _tiers(spark: SparkSession, sf: str) -> list[tuple[str, int]]:
     rows = read_table(spark, sf, "size_profiles").filter("unit = 'tokens' and profile like 'pack%'").select("profile", "capacity").collect()
     return [(r[0], int(r[1])) for r in rows]
@@ -149,7 +155,7 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p9_found, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p5_link_places, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p9_found, p9_redacted)
 }
 SQL: dict[str, str] = {
     "p3_usable": """

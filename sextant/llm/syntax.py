@@ -81,7 +81,7 @@ class Reader:
         """The first token that no parse can take, or None.
 
         ``states``, if given, gets for each line whether it begins inside a comment, string or
-        other open text (and for C also whether the preprocessor leaves it out).
+        other open text (and for C also whether it lies in ``#if 0``).
         """
         if len(self.keys) > LINES:
             self.__init__(self.language, self.tables)
@@ -104,7 +104,7 @@ class Reader:
         c = self.language == "c"
         seen, js = self.seen, self.language == "javascript"
         at, n = 0, len(lines)
-        skips: list[list[bool]] = []  # C: (this branch is left out, a branch was taken)
+        skips: list[list[bool]] = []  # C: (this branch is left out, a branch was taken, it is program text all the same)
         if js and lines[0].startswith("#!"):
             at = 1
         while at < n:
@@ -112,7 +112,7 @@ class Reader:
             at += 1
             if states is not None:
                 states += [True] * (at - 1 - len(states))
-                states.append((state[0] if js else state) != "" or bool(skips and skips[-1][0]))
+                states.append((state[0] if js else state) != "" or bool(skips and skips[-1][0] and not skips[-1][2]))
             if line and line[-1] == "\r":
                 line = line[:-1]
             if c and (state == "" or state == "C"):
@@ -130,12 +130,13 @@ class Reader:
                         if word.startswith("if"):
                             off = bool(skips and skips[-1][0])
                             zero = word == "if" and line[m.end() :].strip() == "0"
-                            skips.append([off or zero, off or not zero])
+                            skips.append([off or zero, off or not zero, off and skips[-1][2] and not zero])
                         elif word in ("else", "elif", "elifdef", "elifndef"):
                             if not skips:
                                 return Fault(at, "#" + word)
-                            skips[-1][0] = skips[-1][1]
-                            skips[-1][1] = True
+                            outer = skips[-2] if len(skips) > 1 else (False, False, True)
+                            zero = word == "elif" and line[m.end() :].strip() == "0"
+                            skips[-1] = [skips[-1][1], True, not zero and (not outer[0] or outer[2])]
                         elif word == "endif":
                             if not skips:
                                 return Fault(at, "#endif")
@@ -144,6 +145,8 @@ class Reader:
                             _, state = self.lexer.line("", line[m.end() :] if "/*" in line and '"' not in line else "")
                         continue
                 if skips and skips[-1][0]:
+                    if skips[-1][2] and states is not None:  # not parsed, but comments and strings are followed
+                        state = (seen.get((state, line)) or self._lexed(state, line))[1]
                     continue
             got = seen.get((state, line))
             if got is None:
