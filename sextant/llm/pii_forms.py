@@ -41,9 +41,37 @@ EMAIL = re.compile(
 )
 
 
+#: What every address holds between its parts: only around these the form is tried. A plain "at" needs a written-out dot.
+_MARK = re.compile(r"[@＠&%=\\\[({<](?:(?<=[@＠])|(?<=&)(?:#64;|#x40;|commat;)|(?<=[%=])40|(?<=\\)u0040|(?<=[\[({<])\s?(?:at|AT|At)\s?[\])}>])")
+_PLAIN_MARK = re.compile(r" (?:at|AT) (?=[^\W_])")
+
+
+def _marks(text: str) -> list[int]:
+    out = [m.start() for m in _MARK.finditer(text)]
+    if "dot" in text or "DOT" in text:
+        out = sorted([*out, *(m.start() for m in _PLAIN_MARK.finditer(text))])
+    return out
+
+
 def emails(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, local part) of mail addresses of persons."""
-    for m in EMAIL.finditer(text):
+    done = 0
+    for at in _marks(text):
+        if at < done:
+            continue
+        # the local part is the run before the mark, maybe behind a bracket and a blank
+        end = at
+        if end > 0 and text[end] == "@" and text[end - 1] in "[({":
+            end -= 1
+        if end > 0 and text[end] not in "&%=\\" and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_.+-%"):
+            start -= 1
+        m = EMAIL.match(text, start) if start < end else None
+        if not m or m.end() <= at:
+            continue
+        done = m.end()
         local = (m.group("l1") or m.group("l2")).lower()
         base = local.split("+")[0]
         if base in ROLE_BOXES or "unsubscribe" in local or re.sub(r"\d+$", "", base) in ROLE_BOXES:
@@ -69,16 +97,46 @@ PHONE = re.compile(
     r"|0\d{1,4}/\d{3,8}(?:[\- ]\d{1,5})?"
     r"|0\d{2,4} \d{3,4} \d{3,4}"
     r"|0\d(?:[. ]\d{2}){4}"
+    r"|(?P<wide>0\d{1,4}[ \-]\d{6,8})"
     rf"){_EXT}(?![\w@]|[.\-/:]\d)"
 )
 
 
-def phones(text: str) -> Iterator[tuple[int, int, str]]:
+#: Digits close together, as every number here has them: only around such places numbers are looked for.
+_DIGITS = re.compile(r"\d(?:[^\d\n]{0,3}\d){5,}")
+_CARD = re.compile(r"<\d")
+#: Characters around the digits that can belong to a number.
+ASIDE = 24
+
+
+def number_windows(text: str) -> list[tuple[int, int]]:
+    """Parts of a text in which a number may stand."""
+    runs = [m.span() for m in _DIGITS.finditer(text)]
+    if "<" in text:
+        runs = sorted([*runs, *(m.span() for m in _CARD.finditer(text))])
+    out: list[tuple[int, int]] = []
+    for start, end in runs:
+        low, high = max(0, start - ASIDE), min(len(text), end + ASIDE)
+        while high < len(text) and text[high].isalnum():
+            high += 1
+        if out and low <= out[-1][1]:
+            low, high = out[-1][0], max(high, out[-1][1])
+            out.pop()
+        out.append((low, high))
+    return out
+
+
+def _in_windows(text: str, pattern: re.Pattern, parts: list[tuple[int, int]] | None = None) -> Iterator[re.Match]:
+    for low, high in number_windows(text) if parts is None else parts:
+        yield from pattern.finditer(text, low, high)
+
+
+def phones(text: str, parts: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, str]]:
     """(start, end, shape) of what is laid out as a phone number."""
-    for m in PHONE.finditer(text):
+    for m in _in_windows(text, PHONE, parts):
         digits = sum(c.isdigit() for c in re.split(r"[xX#]|[eE]xt", m.group())[0])
         if 8 <= digits <= 15:
-            yield m.start(), m.end(), re.sub(r"\d", "0", m.group())
+            yield m.start(), m.end(), ("~" if m.lastgroup == "wide" else "") + re.sub(r"\d", "0", m.group())
 
 
 ID = re.compile(
@@ -93,16 +151,22 @@ ID = re.compile(
     r"|(?P<card>[A-Z][A-Z0-9]{8}<\d)"
     r"|(?P<bank>\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4})"
     r"|(?P<tax>\d{2}-\d{7}|\d{2} \d{3} \d{3} \d{3}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2}/\d{3}/\d{5})"
+    r"|(?P<register>[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?)"
     r"|(?P<plain>\d{9,12})"
     r")(?![\w@<]|[\-/]\w|\.\d)"
 )
 #: Formats that other numbers share: they count only where a learnt context says so.
-WEAK_FORMATS = frozenset(["plain", "tax", "bank"])
+WEAK_FORMATS = frozenset(["plain", "tax", "bank", "register"])
+
 
+def is_weak(shape: str) -> bool:
+    """True for formats and phone shapes (marked with ~) that other numbers share."""
+    return shape in WEAK_FORMATS or shape.startswith("~")
 
-def id_numbers(text: str) -> Iterator[tuple[int, int, str]]:
+
+def id_numbers(text: str, parts: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, str]]:
     """(start, end, format) of what is laid out as the number of a document."""
-    for m in ID.finditer(text):
+    for m in _in_windows(text, ID, parts):
         yield m.start(), m.end(), m.lastgroup
 
 
@@ -115,20 +179,50 @@ _UNIT = r"(?:,? (?:Apt\.?|Apartment|Suite|Ste\.?|Unit|Flat|Room|Floor|No\.|#) ?\
 _NAME = r"[A-ZÀ-ÖØ-Þ][\w'’\-]*"
 _TAIL_EN = rf"(?:{_SEP}{_CITY},? (?:[A-Z]{{2}} )?(?:\d{{5}}|{_UK})|, ?{_CITY}(?![\w'’]))?"
 _TAIL_ZIP = rf"(?:{_SEP}\d{{4,5}} {_CITY}|, ?{_CITY}(?![\w'’]))?"
+_RUE = r"(?:rue|avenue|boulevard|place|chemin|quai|impasse|allée|cours)"
+_GERMAN = r"(?:Am|Im|Zum|Zur|An de[rnm]|Auf de[rm]|In de[rnm]|Unter den|Hinter de[rmn])"
 ADDRESS = re.compile(
     r"(?<![\w/])(?:"
-    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \w+,? )?(?:\d{{1,5}}[a-zA-Z]?|{NUMBER_WORDS}),? (?:{_NAME} ){{1,3}}?(?:{STREET_WORDS})(?!\w){_UNIT}?{_TAIL_EN}"
+    rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \w+,? )?(?:\d{{1,5}}[a-zA-Z]?|{NUMBER_WORDS}),? (?:{_NAME} ){{1,3}}?(?:{STREET_WORDS})(?!\w)(?: (?:NW|NE|SW|SE)(?!\w))?{_UNIT}?{_TAIL_EN}"
     rf"|{_NAME}(?:straße|strasse|str\.|weg|gasse|platz|allee|damm|ring|ufer) \d{{1,4}} ?[a-z]?(?!\w){_TAIL_ZIP}"
-    rf"|\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|place|chemin|quai|impasse|allée|cours)(?: (?:de la|de l['’]|des|de|du|d['’]))? ?{_NAME}(?: {_NAME})?{_TAIL_ZIP}"
+    rf"|{_GERMAN} {_NAME} \d{{1,4}} ?[a-z]?(?!\w){_SEP}\d{{4,5}} {_CITY}"
+    rf"|\d{{1,4}}(?: bis| ter)?,? {_RUE}(?: (?:de la|de l['’]|des|de|du|d['’]))? ?{_NAME}(?: {_NAME})?{_TAIL_ZIP}"
     rf"|(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Via) (?:(?:de la|de los|del|de) )?{_NAME},? \d{{1,4}}(?:, ?\d{{1,2}}\.?[ºª°](?: ?[A-Z](?!\w))?)?{_TAIL_ZIP}"
     rf"|(?:P\. ?O\. ?Box|PO Box|P\.O\.B\.|Postfach|Apartado(?: de correos)?|BP|Boîte postale) \d{{1,6}}(?:{_TAIL_EN}|{_TAIL_ZIP})"
     r")"
 )
 
 
+#: What each of the forms holds: a number before a name, a number behind a street, or one of the words that go before.
+_NUMBER_FIRST = re.compile(rf"\d[a-zA-Z]?,? (?:[A-ZÀ-ÖØ-Þ]|bis |ter |(?:bis |ter )?{_RUE}(?!\w))")
+_NUMBER_LAST = re.compile(r" \d")
+_STREET_ENDS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ring", "ufer")
+# one branch for each first letter, so that the search goes from capital to capital
+_WORD_FIRST = re.compile(
+    r"(?:C(?:alle|/|amino)|A(?:venida|vda\.?|partado|m|n de[rnm]|uf de[rm])|P(?:laza|aseo|\. ?O\.|O|\.O\.B\.|ostfach)|Via|B(?:P|oîte)|I(?:m|n de[rnm])|Z(?:um|ur)|Unter den|Hinter de[rmn]|"
+    r"(?:One|T(?:wo|hree|en)|F(?:our|ive)|S(?:ix|even)|Eight|Nine),?) "
+)
+
+
 def addresses(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in ADDRESS.finditer(text):
-        yield m.start(), m.end(), "address"
+    """(start, end, "address") of postal addresses; the form is tried only around its marks."""
+    marks = [m.start() for m in _NUMBER_FIRST.finditer(text)] + [m.start() for m in _WORD_FIRST.finditer(text)]
+    marks += [m.start() for m in _NUMBER_LAST.finditer(text) if text.endswith(_STREET_ENDS, 0, m.start())]
+    done = 0
+    for at in sorted(marks):
+        if at < done:
+            continue
+        low = max(done, at - 100)
+        low = 0 if low == 0 else low if low == done else text.find(" ", low, at) + 1 or low
+        high = at + 240
+        while high < len(text) and not text[high].isspace():
+            high += 1
+        for m in ADDRESS.finditer(text, low, high):
+            if m.start() > at:  # it has a mark of its own
+                break
+            yield m.start(), m.end(), "address"
+            done = m.end()
+        done = max(done, at + 1)
 
 
 # ------------------------------------------------------------------ names
@@ -145,11 +239,11 @@ class Word(NamedTuple):
     gap: bool  # white space before
 
 
-def words(text: str) -> list[Word]:
-    """Tokens of a text; single capital letters with a dot are initials."""
-    out, last, push = [], 0, None
+def words(text: str, begin: int = 0, stop: int | None = None) -> list[Word]:
+    """Tokens of a part of a text; single capital letters with a dot are initials."""
+    out, last = [], begin
     push = out.append
-    for m in TOKEN.finditer(text):
+    for m in TOKEN.finditer(text, begin, len(text) if stop is None else stop):
         start, end = m.span()
         g = m.lastindex
         gap = start != last
@@ -240,8 +334,57 @@ def mentions(ws: list[Word], lower: Callable[[str], bool] | None) -> Iterator[Me
             yield Mention(i, j, w.text.lower(), ws[j].text.lower(), form, c)
 
 
+#: Characters on each side of a place in which its context is looked for.
+BEFORE, BEHIND = 64, 112
+_UPPER = "[" + "".join(chr(c) for c in range(0x10000) if chr(c).isupper()) + "]"
+_PARTICLE_WORDS = "|".join(sorted({re.escape(p.split()[0]) for p in PARTICLES}, key=len, reverse=True))
+#: Where a name in capital letters may begin: a word or an initial before another one.
+_BEGIN = re.compile(
+    rf"{_UPPER}(?<![^\W\d_].)(?:[^\W\d_]+(?:['’\-][^\W\d_]+)*(?=,?[ \t\r]+(?:{_UPPER}|(?i:{_PARTICLE_WORDS})(?![^\W\d_])))|\.(?=[ \t\r]*(?:{_UPPER}|(?i:{_PARTICLE_WORDS})[ \t\r])))"
+)
+_ANY_WORD = re.compile(_WORD)
+
+
+def name_places(text: str) -> list[int]:
+    """Where a name in capital letters may begin."""
+    return [m.start() for m in _BEGIN.finditer(text)]
+
+
+def low_places(text: str, names) -> list[int]:
+    """Where a word in lower case stands that is one of ``names``."""
+    if names.isdisjoint(_ANY_WORD.findall(text)):
+        return []
+    return [m.start() for m in _ANY_WORD.finditer(text) if m.group() in names]
+
+
+def windows(text: str, places: list[int]) -> Iterator[tuple[int, int]]:
+    """Parts of lines, cut at white space, that hold the places with what stands around them."""
+    begin = stop = -1
+    for at in places:  # in order
+        if at + BEHIND / 2 < stop:  # far enough inside the part before
+            continue
+        low = text.rfind("\n", max(0, at - BEFORE), at) + 1
+        if low == 0 and at > BEFORE:
+            low = text.find(" ", at - BEFORE, at) + 1 or text.rfind("\n", 0, at) + 1
+        high = text.find("\n", at, at + BEHIND)
+        if high < 0:
+            high = len(text)
+            if at + BEHIND < high:
+                high = text.find(" ", at + BEHIND)
+                line = text.find("\n", at + BEHIND)
+                high = min(x for x in (high, line, len(text)) if x >= 0)
+        if low <= stop:
+            stop = max(stop, high)
+            continue
+        if stop >= 0:
+            yield begin, stop
+        begin, stop = low, high
+    if stop >= 0:
+        yield begin, stop
+
+
 def context(ws: list[Word], first: int, last: int) -> tuple[str, str]:
-    """Lexical patterns to the left and right: two tokens each, not beyond the line; '^' and '$' stand for its ends."""
+    """Lexical contexts to the left and right: two tokens each, not beyond the line; '^' and '$' stand for its ends."""
     left: list[str] = []
     i = first - 1
     while i >= 0 and len(left) < 2:
@@ -262,7 +405,18 @@ def context(ws: list[Word], first: int, last: int) -> tuple[str, str]:
         i += 1
     if len(right) < 2:
         right.append("$")
-    return "L " + " ".join(reversed(left)), "R " + " ".join(right)
+    return " ".join(reversed(left)), " ".join(right)
+
+
+def introduction(ws: list[Word], first: int) -> str:
+    """The last two words before a place within its line, whatever marks stand between; one or none if there are no more."""
+    out: list[str] = []
+    i = first - 1
+    while i >= 0 and len(out) < 2 and first - i <= 8 and ws[i].kind not in ("nl", "num"):
+        if ws[i].kind in ("word", "initial"):
+            out.append(ws[i].text.lower())
+        i -= 1
+    return " ".join(reversed(out))
 
 
 def folded(s: str) -> str:

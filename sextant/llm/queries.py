@@ -154,8 +154,16 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("chunk_id"), F.col("path").alias("file_path"), "piece_no", "line_start", "line_end", "char_start", "char_end", "piece")
 
 
+def p9_learnt_share(spark: SparkSession, sf: str) -> DataFrame:
+    """How many findings of each type an empty model would give: what goes by form, and what is learnt."""
+    docs = read_table(spark, sf, "documents")
+    alone = materialise(pii.by_form_alone(docs), "pii-alone").groupBy("pii_type").agg(F.count("*").alias("n_by_form"))
+    out = materialise(pii.found(docs), "pii-found").groupBy("pii_type").agg(F.count("*").alias("n_found")).join(alone, "pii_type", "left")
+    return out.select("pii_type", "n_found", F.coalesce("n_by_form", F.lit(0)).alias("n_by_form"), F.round(1 - F.coalesce("n_by_form", F.lit(0)) / F.col("n_found"), 6).alias("learnt_share"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p5_link_places, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p9_found, p9_redacted)
+    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p5_link_places, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p9_found, p9_redacted, p9_learnt_share)
 }
 SQL: dict[str, str] = {
     "p3_usable": """

@@ -26,6 +26,7 @@ def test_mail(text, want):
         ("Ring me at +1 415 555 0194 x396 after", ["+1 415 555 0194 x396"]), ("tel 01.99.00.01.60", ["01.99.00.01.60"]), ("(212) 555 0100 |", ["(212) 555 0100"]), ("030/23125-512", ["030/23125-512"]),
         ("+12125550179", ["+12125550179"]), ("617-555-0135 ext. 12.", ["617-555-0135 ext. 12"]), ("001 303 555 0136", ["001 303 555 0136"]), ("020 7946 0191 erbeten", ["020 7946 0191"]),
         ("Build 27872787881 finished at 12:73:73.", []), ("job 2024-996-6423", []), ("Serial 585-585-2841-2841", []), ("10.91.91.91:1278", []), ("0x57117924", []), ("2024-07-26T00:00:32Z", []),
+        ("Tel: 0171 1234567", ["0171 1234567"]), ("phone 030 12345678", ["030 12345678"]), ("07700 900123", ["07700 900123"]),
     ],
 )
 def test_phone(text, want):
@@ -38,7 +39,8 @@ def test_phone(text, want):
         ("at Flat 4, 41 Emberly Road, Quellburg ZZ4 0QX now", ["Flat 4, 41 Emberly Road, Quellburg ZZ4 0QX"]), ("Tarnweg 3b\n00073 Eastmere Half of", ["Tarnweg 3b\n00073 Eastmere"]),
         ("to 418 Windrush Ave., Apt. 7, Vellmouth last", ["418 Windrush Ave., Apt. 7, Vellmouth"]), ("P.O. Box 201, Lowtarn 00056", ["P.O. Box 201, Lowtarn 00056"]),
         ("29 rue des Maple, 00000 Port Osprey", ["29 rue des Maple, 00000 Port Osprey"]), ("Calle Harrow 47, 2.º B, 00002 Vellmouth", ["Calle Harrow 47, 2.º B, 00002 Vellmouth"]), ("One Ostrel Plaza, Nordhafen", ["One Ostrel Plaza, Nordhafen"]),
-        ("Room 14 at the Tarn Street office", []), ("Harrowstraße 82, 00012 Saint Corvin", ["Harrowstraße 82, 00012 Saint Corvin"]),
+        ("Room 14 at the Tarn Street office", []), ("Am Markt 3, 10115 Quellburg", ["Am Markt 3, 10115 Quellburg"]), ("Am 3. Mai", []),
+        ("x 1600 Ostrel Avenue NW, Vellmouth, DC 20500 y", ["1600 Ostrel Avenue NW, Vellmouth, DC 20500"]), ("7 Merge " + "step " * 60 + "\n80 Maplecote Court, Brackwater 00049", ["80 Maplecote Court, Brackwater 00049"]), ("Harrowstraße 82, 00012 Saint Corvin", ["Harrowstraße 82, 00012 Saint Corvin"]),
     ],
 )
 def test_address(text, want):
@@ -73,6 +75,29 @@ def test_found(docs):
     assert None not in got and 5000 not in got
 
 
+def test_numbers_count_by_learnt_contexts_only(spark):
+    rows = [(i, f"My passport is ZZ{5968000 + i}.\nPermit 4711: {270000000 + i} ok.\nBuild {270000000 + i} finished.") for i in range(20)]
+    rows += [(100 + i, f"tax id {370000000 + i} and badge number {x} here") for i, x in enumerate(["ZZ5968100", "903-84-1618", "X1234567L", "840517-123A", "ZZ5968101"])]
+    rows += [(200, "The badge number 570000001 is new."), (201, "Tel: 0171 1234567"), (202, "tel: 0172 1234567"), (203, "tel: 0173 1234567 now"), (204, "key 0171 1234567")]
+    rows += [(50, "ssn 903-84-1600"), (51, "nie X1234560L"), (52, "personnummer 840517-123B")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {(r["doc_id"], text[r["doc_id"]][r["char_start"] : r["char_end"]], r["pii_type"]) for r in P.found(df).collect()}
+    assert {x for x in got if x[0] < 50} == {(i, f"ZZ{5968000 + i}", "id_number") for i in range(20)}
+    assert {x[1] for x in got if 100 <= x[0] < 200} == {*(f"{370000000 + i}" for i in range(5)), "ZZ5968100", "903-84-1618", "X1234567L", "840517-123A", "ZZ5968101"}
+    assert (200, "570000001", "id_number") in got  # behind words that no list holds
+    assert {x[0] for x in got if x[0] > 200} == {201, 202, 203}
+    assert P.by_form_alone(df).count() == 0
+
+
+def test_places_are_those_of_the_whole_text():
+    text = ("Zeile mit Wort. " * 30 + "Thanks to Yara Edemura, J. R. van der Okamura and EDEMURA, YARA for it; passport ZZ5968001, tel +1 415 555 0194 x396.\n") * 4
+    ws = P.forms.words(text)
+    want = [(ws[m.first].start, ws[m.last].end, *P.forms.context(ws, m.first, m.last)) for m in P.forms.mentions(ws, None)]
+    assert [(p.start, p.end, p.left, p.right) for p in P.places_of(text) if p.kind == "n"] == want
+    assert [text[p.start : p.end] for p in P.places_of(text) if p.kind in "ip"] == ["ZZ5968001", "+1 415 555 0194 x396"] * 4
+
+
 def test_both_ways_to_the_model_agree(docs):
     assert {tuple(r) for r in P.find_spans(docs, limit=0).collect()} == {tuple(r) for r in P.find_spans(docs).collect()}
 
