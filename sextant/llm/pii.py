@@ -84,7 +84,7 @@ def _index_at(ws: list[forms.Word], start: int, end: int) -> tuple[int, int]:
 class Place(NamedTuple):
     """Where a piece may stand. ``kind``: e mail, a address, i and p numbers, n name.
 
-    ``given``: a number's shape, else the given name; ``form``: a name's order of parts and case.
+    ``given``: a number's shape, else the given name; ``form``: a name's order of parts and case, or that a number is part of a mail address.
     """
 
     kind: str
@@ -124,7 +124,8 @@ def places_of(text: str) -> list[Place]:
                 first, last = _index_at(ws, s, e)
                 left, right = forms.context(ws, first, last)
                 seed = bool((ID_LABELS if kind == "i" else PHONE_LABELS).search(text, max(0, s - 40), s)) or (kind == "p" and text[s] in "+(")
-                out.append(Place(kind, s, e, shape, "", "", left, right, forms.introduction(ws, first), seed))
+                inside = any(a < e and s < b for a, b, _ in mails)
+                out.append(Place(kind, s, e, shape, "", "mail" if inside else "", left, right, forms.introduction(ws, first), seed))
         if names:
             for m in forms.mentions(ws, None):
                 if ws[m.first].start not in names:
@@ -172,11 +173,9 @@ def places(docs: DataFrame) -> DataFrame:
 
 def graph(located: DataFrame) -> DataFrame:
     """(pattern, instance, n, seeds) over all places of all documents. Weak formats are their own kind of instance, marked with ?."""
-    rows = located.select(F.explode(F.arrays_zip("kind", "given", "family", "form", "left", "right", "intro", "start", "end", "seed")).alias("x"), "start", "end", "kind").select(
-        "x.*", F.transform(F.filter(F.arrays_zip("start", "end", "kind"), lambda y: y["kind"] == "e"), lambda y: F.struct(y["start"], y["end"])).alias("mails")
-    )
-    rows = rows.filter(F.col("kind").isin("n", "i", "p") & ~F.col("form").startswith("IF|"))
-    rows = rows.filter((F.col("kind") == "n") | ~F.exists("mails", lambda m: (m["start"] < F.col("end")) & (F.col("start") < m["end"])))
+    rows = located.select(F.explode(F.arrays_zip("kind", "given", "family", "form", "left", "right", "intro", "seed")).alias("x")).select("x.*")
+    # neither single initials nor numbers inside of mail addresses teach anything
+    rows = rows.filter(F.col("kind").isin("n", "i", "p") & ~F.col("form").startswith("IF|") & (F.col("form") != "mail"))
     kind, intro = F.col("kind"), F.col("intro")
     ends = ["^", "$", ".", "!", "?"]
     pattern = F.array(

@@ -195,6 +195,7 @@ ADDRESS = re.compile(
 
 #: What each of the forms holds: a number before a name, a number behind a street, or one of the words that go before.
 _NUMBER_FIRST = re.compile(rf"\d[a-zA-Z]?,? (?:[A-ZÀ-ÖØ-Þ]|bis |ter |(?:bis |ter )?{_RUE}(?!\w))")
+_UNIT_FIRST = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite) \w+,? \Z")
 _NUMBER_LAST = re.compile(r" \d")
 _STREET_ENDS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "damm", "ring", "ufer")
 # one branch for each first letter, so that the search goes from capital to capital
@@ -206,23 +207,25 @@ _WORD_FIRST = re.compile(
 
 def addresses(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, "address") of postal addresses; the form is tried only around its marks."""
-    marks = [m.start() for m in _NUMBER_FIRST.finditer(text)] + [m.start() for m in _WORD_FIRST.finditer(text)]
-    marks += [m.start() for m in _NUMBER_LAST.finditer(text) if text.endswith(_STREET_ENDS, 0, m.start())]
+    starts = {m.start() for m in _WORD_FIRST.finditer(text)}
+    for m in _NUMBER_FIRST.finditer(text):
+        at = m.start()
+        while at > 0 and text[at - 1].isdigit():
+            at -= 1
+        starts.add(at)
+        if before := _UNIT_FIRST.search(text, max(0, at - 40), at):
+            starts.add(before.start())
+    for m in _NUMBER_LAST.finditer(text):
+        if text.endswith(_STREET_ENDS, 0, m.start()):
+            at = m.start()
+            while at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_'’-."):
+                at -= 1
+            starts.update(k for k in range(at, m.start()) if text[k].isupper())
     done = 0
-    for at in sorted(marks):
-        if at < done:
-            continue
-        low = max(done, at - 100)
-        low = 0 if low == 0 else low if low == done else text.find(" ", low, at) + 1 or low
-        high = at + 240
-        while high < len(text) and not text[high].isspace():
-            high += 1
-        for m in ADDRESS.finditer(text, low, high):
-            if m.start() > at:  # it has a mark of its own
-                break
-            yield m.start(), m.end(), "address"
+    for at in sorted(starts):
+        if at >= done and (m := ADDRESS.match(text, at)):
+            yield at, m.end(), "address"
             done = m.end()
-        done = max(done, at + 1)
 
 
 # ------------------------------------------------------------------ names
@@ -346,13 +349,28 @@ _ANY_WORD = re.compile(_WORD)
 
 
 def name_places(text: str) -> list[int]:
-    """Where a name in capital letters may begin."""
-    return [m.start() for m in _BEGIN.finditer(text)]
+    """Where a name in capital letters may begin: a word and the next one are both in capitals or both only begin with one."""
+    out = []
+    for m in _BEGIN.finditer(text):
+        w, at = m.group(), m.end()
+        if len(w) > 1 and w[1] != ".":
+            while text[at] in ", \t\r":
+                at += 1
+            after = text[at : at + 2]
+            if after[0].isupper() and after[1:] != ".":
+                if w.isupper():
+                    if not after.isupper():
+                        continue
+                elif after.isupper() and len(after) > 1 and _ANY_WORD.match(text, at).group().isupper():
+                    continue
+        out.append(m.start())
+    return out
 
 
 def low_places(text: str, names) -> list[int]:
     """Where a word in lower case stands that is one of ``names``."""
-    if names.isdisjoint(_ANY_WORD.findall(text)):
+    pieces = text.split()
+    if names.isdisjoint(pieces) and names.isdisjoint(_ANY_WORD.findall(" ".join([p for p in pieces if not p.isalpha()]))):
         return []
     return [m.start() for m in _ANY_WORD.finditer(text) if m.group() in names]
 
