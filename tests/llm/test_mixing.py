@@ -81,3 +81,28 @@ def test_exhausted_sources_fall_short_of_a_stated_total(spark):
     assert {s: r["n_tokens"] for s, r in got.items()} == {"a": 1000, "b": 1000, "c": 20} and all(r["unused"] == 0 for r in got.values())
     got = {r["source"]: r for r in M.shares(M.mix(records, targets), targets, records).collect()}
     assert {s for s, r in got.items() if r["limits"]} == {"c"} and got["a"]["unused"] == 500 and got["c"]["available"] == 20
+
+
+def test_the_end_of_a_quota_is_filled_by_records_that_fit():
+    assert M.fill(100, [(0, 90), (90, 500), (590, 8), (598, 5)], 20) == [(0, 0.0), (590, 90.0)]
+    assert M.fill(100, [(0, 500), (500, 600)], 20) == [] and M.fill(100, [(0, 150)], 20) == [(0, 0.0)] and M.fill(10, [], 5) == []
+
+
+def test_a_long_record_at_the_end_of_a_quota(spark):
+    rows = [(i, "a", 10) for i in range(900)] + [(2000 + i, "a", 900) for i in range(10)] + [(5000 + i, "b", 10) for i in range(900)]
+    records = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    for share in (0.2, 0.35, 0.5, 0.62):
+        targets = spark.createDataFrame([("a", share, 1), ("b", 1 - share, 1)], "source string, target_share double, max_repeats int")
+        got = {r["source"]: r for r in M.shares(M.mix(records, targets), targets).collect()}
+        assert abs(got["a"]["share"] - share) < 0.01
+
+
+def test_more_records_make_more_parts(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], 10 + i % 7) for i in range(3000)]
+    records = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert M._parts(1024, 10**9) == 10_000 and M._parts(1024, 10**3) == 1024 and M._parts(1024, 10**15) == M.MOST
+    monkeypatch.setattr(M, "RANGES", 3)
+    monkeypatch.setattr(M, "PER_BLOCK", 100)
+    out = M.mix(records, targets)
+    assert out.count() == out.select("position").distinct().count() and all(abs(r["share"] - 0.5) < 0.01 for r in M.shares(out, targets).collect())
