@@ -36,6 +36,15 @@ def p2_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("path", "lang", "vendored", "generated", "minified", "data_only", "max_line", "mean_line", "space_share", "numeric_density", "encoded_share", "numbered_share")
 
 
+def p2_reason_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many files each reason gives, and how many it gives alone: the layout's (generated, minified, data) and those of third-party copies."""
+    out = origin.reasons(origin.file_stats(read_table(spark, sf, "source_files"))).filter("foreign")
+    why = {"generated": "generated", "minified": "minified", "data_only": "data_only", "folder": "folder", "owner": "owner"}
+    held = F.filter(F.array(*[F.when(F.col(c), F.lit(n)) for n, c in why.items()]), lambda x: x.isNotNull())
+    rows = out.select("lang", F.explode(held).alias("reason"), (F.size(held) == 1).alias("alone"))
+    return rows.groupBy("lang", "reason").agg(F.count("*").alias("n_files"), F.count_if("alone").alias("n_alone"))
+
+
 def p2_hand_written(spark: SparkSession, sf: str) -> DataFrame:
     """The listing of hand-written files."""
     return origin.hand_written(read_table(spark, sf, "file_listing"), read_table(spark, sf, "source_files"))
@@ -169,7 +178,7 @@ def p9_learnt_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p5_link_places, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p8_on_target, p9_found, p9_redacted, p9_learnt_share)
+    f.__name__: f for f in (p1_found, p1_redacted, p1_rule_counts, p2_found, p2_reasons, p2_reason_counts, p2_hand_written, p3_found, p3_neighbours, p3_recall, p3_usable, p4_found, p4_first_faults, p4_rates, p5_found, p5_pairs, p5_link_places, p6_found, p6_pieces, p7_packing, p7_packing_by_capacity, p7_utilisation, p8_mixture, p8_shares, p8_on_target, p9_found, p9_redacted, p9_learnt_share)
 }
 SQL: dict[str, str] = {
     "p3_usable": """

@@ -30,6 +30,21 @@ def test_banners_and_owners():
     assert O._owners("// nothing here") == []
 
 
+def test_owners_by_other_words():
+    for head, want in (
+        ("/* Adapted from https://libz.example/src under its licence. */", ["libz"]), ("# Vendored from zed-kit 2.4.0, see upstream for the licence.\n", ["zed-kit"]), ("// (c) 2021 Quux contributors\n// Redistribution is allowed.", ["quux"]),
+        ("/*\n * Mirror of the zedlib project.\n */", ["zedlib"]), ("// Fork of quuxlib v3; licensed as upstream.", ["quuxlib"]), ("// See https://docs.test/x for the protocol.", []), ("x = 1  # copy of zed 1.2", []),
+    ):
+        assert O._owners(head + "\nx = 1\n") == want
+
+
+def test_letters_and_digits_alone(spark):
+    blob = "const x = [" + ",".join("abcdef12" for _ in range(80)) + "];"
+    files = spark.createDataFrame([("/r/m/a.js", blob)], "path string, content string")
+    r = O.reasons(O.file_stats(files)).first()
+    assert r["alnum_share"] > 0.85 and r["encoded_share"] == 0 and r["data_only"] and not r["folder"] and not r["owner"]
+
+
 def test_frame(spark):
     numbers = "var x = []float64{\n" + "1.5, 2.25, 3.125, 4, 5, 6,\n" * 40 + "}\n"
     packed = "!function(e,t){" + "var a=e.b>1?t[0]:e.c;" * 60 + "}()"
@@ -37,7 +52,8 @@ def test_frame(spark):
     rows = [
         ("/r/mine/a.go", HAND), ("/r/mine/vendor/x/a.go", HAND), ("/r/mine/vendor_list/a.go", HAND), ("/r/mine/n.go", numbers), ("/r/mine/p.js", packed), ("/r/mine/g.go", getters),
         ("/r/mine/t.go", "// Part of theirs.\n\n" + HAND), ("/r/mine/o.go", "// Part of mine.\n\n" + HAND), ("/r/mine/null.go", None), ("/r/mine/vendor/null.go", None), ("/r/mine/e.py", ""),
-        ("/r/mine/x.md", numbers), (None, HAND), ("/r/mine/b.c", "/* Code generated by x. DO NOT EDIT. */\nint a;\n"),
+        ("/r/mine/x.md", numbers), (None, HAND), ("/r/mine/b.c", "/* Code generated by x. DO NOT EDIT. */\nint get_a1(void);\nint get(void);\nint put(void);\nint end(void);\n"),
+        ("/r/mine/b2.c", "/* Code generated by x. DO NOT EDIT. */\nint get(void);\nint put(void);\nint end(void);\n"), ("/r/mine/b3.c", "int get_a1(void);\nint get(void);\nint put(void);\nint end(void);\nint run(void);\nint set(void);\n"),
     ]
     files = spark.createDataFrame(rows, "path string, content string")
     got = {r["path"].removeprefix("/r/mine/") for r in O.foreign_files(files).collect()}
