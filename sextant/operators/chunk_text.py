@@ -6,7 +6,7 @@ whole-file chunks, where it is one empty chunk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.text import basename, is_blank, split_lines, strip_ws
@@ -14,30 +14,27 @@ from sextant.functions.text import basename, is_blank, split_lines, strip_ws
 HEADER = r"(?s)^(#{1,6})\s+(.+)\z"
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    """(path, ln, line), ln from 1."""
-    return (
-        files.filter(F.col("content").isNotNull())
-        .select("path", F.posexplode(split_lines(F.col("content"))).alias("i", "line"))
-        .select("path", (F.col("i") + 1).alias("ln"), "line")
-    )
+def _cut(lines: Column, first: Column, last: Column) -> Column:
+    """The text of lines ``first`` to ``last``."""
+    return F.array_join(F.slice(lines, first, last - first + 1), "\n")
 
 
-def _joined(sort_by: str = "ln") -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(sort_by, "line")))
-    return F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
+def _numbered(files: DataFrame) -> DataFrame:
+    """(path, lines, at): the lines of each file and their numbers, from 1. Everything about a file is worked out in its own row, so nothing is shuffled."""
+    lines = files.filter(F.col("content").isNotNull() & (F.col("content") != "")).select("path", split_lines(F.col("content")).alias("lines"))
+    return lines.select("path", "lines", F.sequence(F.lit(1), F.size("lines")).alias("at"))
 
 
 def chunk_blank_lines(files: DataFrame) -> DataFrame:
     """Maximal runs of lines that are not blank."""
-    w = Window.partitionBy("path").orderBy("ln")
-    runs = _lines(files).withColumn("blank", is_blank(F.col("line"))).withColumn("run", F.sum(F.col("blank").cast("int")).over(w))
-    return (
-        runs.filter(~F.col("blank"))
-        .groupBy("path", "run")
-        .agg(F.min("ln").alias("line_start"), F.max("ln").alias("line_end"), _joined().alias("code"))
-        .select(F.col("path").alias("file_path"), "line_start", "line_end", "code")
-    )
+    rows = _numbered(files).withColumn("full", F.transform("lines", lambda x: ~is_blank(x)))
+    full = lambda i: F.coalesce(F.get("full", i - 1), F.lit(False))
+    before = lambda i: F.when(i > 1, full(i - 1)).otherwise(False)
+    firsts = F.filter("at", lambda i: full(i) & ~before(i))
+    lasts = F.filter("at", lambda i: full(i) & ~full(i + 1))
+    rows = rows.select("path", "lines", F.arrays_zip(firsts.alias("first"), lasts.alias("last")).alias("runs"))
+    chunks = F.transform("runs", lambda r: F.struct(r["first"].alias("line_start"), r["last"].alias("line_end"), _cut(F.col("lines"), r["first"], r["last"]).alias("code")))
+    return rows.select("path", F.explode(chunks).alias("c")).select(F.col("path").alias("file_path"), "c.*")
 
 
 def chunk_whole(files: DataFrame, compat: bool = True) -> DataFrame:
@@ -93,28 +90,24 @@ def chunk_markdown(files: DataFrame, compat: bool = True) -> DataFrame:
     Text before the first header is a ``content`` chunk; a file without header is one ``document``
     named after the file.  Fences are not looked at.
     """
-    lines = _lines(files)
-    head = F.col("line").rlike(HEADER)
-    lvl = F.when(head, F.length(F.regexp_extract("line", HEADER, 1)))
-    txt = F.when(head, strip_ws(F.regexp_extract("line", HEADER, 2)))
-    w = Window.partitionBy("path").orderBy("ln")
-    marked = lines.withColumns({"lvl": lvl, "txt": txt}).withColumn("sec", F.sum(F.col("lvl").isNotNull().cast("int")).over(w))
-    sections = marked.groupBy("path", "sec").agg(
-        F.min("ln").alias("line_start"), F.max("ln").alias("line_end"), _joined().alias("code"),
-        F.max("lvl").alias("lvl"), F.max("txt").alias("txt"),
-    )
-    heads = F.array_sort(F.collect_list(F.when(F.col("lvl").isNotNull(), F.struct(F.col("line_start").alias("ln"), F.col("lvl").alias("lvl"), F.col("txt").alias("txt")))))
-    crumbs = (
-        sections.groupBy("path")
-        .agg(F.count("*").alias("n_sections"), heads.alias("heads"))
-        .select("path", "n_sections", F.explode_outer(parent_headings(F.col("heads"), compat)).alias("c"))
-        .select("path", "n_sections", F.col("c.ln").alias("c_ln"), F.array_join("c.parents", " > ").alias("parent_heading"))
-    )
-    alone = crumbs.groupBy("path").agg(F.max("n_sections").alias("n_sections"))
-    out = sections.join(alone, "path").join(
-        crumbs.select("path", F.col("c_ln").alias("line_start"), "parent_heading").filter("line_start is not null"), ["path", "line_start"], "left"
-    )
-    titled = F.coalesce("txt", F.lit(""))
+    level = lambda x: F.length(F.regexp_extract(x, HEADER, 1))  # noqa: E731 (0 for other lines)
+    rows = _numbered(files).withColumn("levels", F.transform("lines", level))
+    heads = F.filter("at", lambda i: F.get("levels", i - 1) > 0)
+    described = F.transform("heads", lambda i: F.struct(i.alias("ln"), F.get("levels", i - 1).alias("lvl"), strip_ws(F.regexp_extract(F.get("lines", i - 1), HEADER, 2)).alias("txt")))
+    rows = rows.withColumn("heads", heads).withColumn("heads", described)
+    # what stands before the first header is a section without one
+    none = F.struct(F.lit(1).alias("ln"), F.lit(0).alias("lvl"), F.lit("").alias("txt"))
+    every = F.when((F.size("heads") > 0) & (F.get("heads", F.lit(0))["ln"] == 1), F.col("heads")).otherwise(F.concat(F.array(none), "heads"))
+    parents = F.map_from_entries(F.transform(parent_headings(F.col("heads"), compat), lambda p: F.struct(p["ln"], F.array_join(p["parents"], " > "))))
+    rows = rows.select("path", "lines", every.alias("every"), parents.alias("parents"))
+    section = F.transform("every", lambda h, k: F.struct(
+        h["ln"].alias("line_start"), (F.coalesce(F.get("every", k + 1)["ln"], F.size("lines") + 1) - 1).alias("line_end"), h["lvl"].alias("lvl"), h["txt"].alias("txt"),
+        F.when(h["lvl"] > 0, F.try_element_at("parents", h["ln"])).alias("parent_heading"),
+    ))
+    rows = rows.select("path", "lines", section.alias("sections"))
+    cut = F.transform("sections", lambda x: F.struct(x.alias("s"), _cut(F.col("lines"), x["line_start"], x["line_end"]).alias("code")))
+    out = rows.select("path", F.size("sections").alias("n_sections"), F.explode(cut).alias("c")).select("path", "n_sections", "c.s.*", "c.code")
+    titled = F.col("txt")
     single = (F.col("n_sections") == 1) & (titled == "")
     return out.select(
         F.col("path").alias("file_path"), "line_start", "line_end", "code",

@@ -69,6 +69,12 @@ def lookup_vector(df: DataFrame, key, id_col: str = "chunk_id", vector: str = "v
     return list(row[0]) if row else None
 
 
+def lookup_vectors(df: DataFrame, keys: Sequence, id_col: str = "chunk_id", vector: str = "vector") -> list[tuple]:
+    """(key, vector) of a short stated list of rows, in order of the key: one pass."""
+    rows = df.filter(F.col(id_col).isin(list(keys)) & F.col(vector).isNotNull()).select(id_col, vector).collect()
+    return [(k, list(v)) for k, v in sorted({r[0]: r[1] for r in rows}.items())]
+
+
 def recommend(
     df: DataFrame, key, k: int = 5, where: Column | str | None = None, id_col: str = "chunk_id", vector: str = "vector"
 ) -> DataFrame:
@@ -86,4 +92,4 @@ def pad_query(query: Sequence[float], dim: int) -> list[float]:
     return q + [0.0] * (dim - len(q))
 
 
-__all__ = ["knn", "knn_batch", "lookup_vector", "pad", "pad_query", "recommend", "with_score"]
+__all__ = ["knn", "knn_batch", "lookup_vector", "lookup_vectors", "pad", "pad_query", "recommend", "with_score"]

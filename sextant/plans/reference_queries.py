@@ -11,8 +11,9 @@ from sextant.functions import lang as L
 from sextant.functions import text as X
 from sextant.functions import vectors as V
 from sextant.operators import ann, chunk_code, chunk_text, dml, embed, fulltext, incremental, search
-from sextant.operators.knn import knn, knn_batch, lookup_vector, recommend
+from sextant.operators.knn import knn, knn_batch, lookup_vector, lookup_vectors, recommend
 from sextant.plans.spec import QuerySpec, VectorSearch
+from sextant.session import materialise, stored
 from sextant.session import read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,8 +132,8 @@ def q10_knn_postfilter(spark, sf):
 row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dist('e.embedding', 'q.embedding')}, e.vec_id) AS rn
 FROM embeddings e JOIN embeddings q ON q.vec_id < 5) WHERE rn <= 5""")
 def q11_knn_batch(spark, sf):
-    asked = [(i, v) for i in range(5) if (v := qv(spark, sf, i)) is not None]
-    return _rounded(knn_batch(table(spark, sf, "embeddings"), asked, 5, "vec_id", "embedding").select("query_id", "vec_id", "score", "rn"))
+    e = table(spark, sf, "embeddings")
+    return _rounded(knn_batch(e, lookup_vectors(e, range(5), "vec_id", "embedding"), 5, "vec_id", "embedding").select("query_id", "vec_id", "score", "rn"))
 
 
 def _recommend_sql(where: str) -> str:
@@ -177,8 +178,14 @@ def q16_pad(spark, sf):
 _COLS = ["chunk_id", "file_path", "embedding_type", "score"]
 
 
+def _two(spark, sf):
+    """The query vectors of both sides."""
+    found = dict(lookup_vectors(table(spark, sf, "embeddings"), (0, 1), "vec_id", "embedding"))
+    return {"code": found[0], "docs": found[1]}
+
+
 def _search(spark, sf, mode, limit):
-    vectors = {"code": qv(spark, sf, 0), "docs": qv(spark, sf, 1)}
+    vectors = _two(spark, sf)
     return search.search(chunks_view(spark, sf).select("chunk_id", "file_path", "language", "code", "embedding_type", "vector"), vectors, mode, limit)
 
 
@@ -220,7 +227,7 @@ def q20_search_hybrid_nolimit(spark, sf):
 @query(f"{_search_cte(_BOTH, 10)} SELECT (SELECT count(*) FROM t WHERE rn <= 10) AS total_results, least(10, (SELECT count(*) FROM u WHERE dn = 1)) AS returned")
 def q21_search_envelope(spark, sf):
     view = chunks_view(spark, sf)
-    vectors = {"code": qv(spark, sf, 0), "docs": qv(spark, sf, 1)}
+    vectors = _two(spark, sf)
     before = search.hits(view, vectors, "hybrid", 10)
     return search.envelope("first", "hybrid", before, search.search(view, vectors, "hybrid", 10)).select("total_results", "returned")
 
@@ -472,19 +479,60 @@ def q56_vector_quality(spark, sf):
 # ------------------------------------------------------------------ approximate search, full text, code chunks
 
 
+def _ann(spark, sf, kind):
+    e = table(spark, sf, "embeddings")
+    return ann.Index(spark, stored(e, kind, lambda path: ann.build(e, path, kind)))
+
+
+def _ann_hits(spark, sf, kind):
+    return _rounded(_ann(spark, sf, kind).search(qv(spark, sf, 0)).select(F.col("id").alias("vec_id"), "score"))
+
+
 @query()
 def q52_ann_lsh(spark, sf):
-    return _rounded(ann.lsh_search(table(spark, sf, "embeddings"), qv(spark, sf, 0)))
+    return _ann_hits(spark, sf, "lsh")
 
 
 @query()
 def q57_ann_ivf_flat(spark, sf):
-    return _rounded(ann.ivf_flat(table(spark, sf, "embeddings")).search(qv(spark, sf, 0)))
+    return _ann_hits(spark, sf, "ivf_flat")
 
 
 @query()
 def q58_ann_ivf_pq(spark, sf):
-    return _rounded(ann.ivf_pq(table(spark, sf, "embeddings")).search(qv(spark, sf, 0)))
+    return _ann_hits(spark, sf, "ivf_pq")
+
+
+def _ann_recalls(spark, sf):
+    """(kind, n_exact, n_found, recall) of the stored indexes for all vectors whose id is divisible by 100."""
+    queries = table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = _ann(spark, sf, "ivf_flat")
+    truth = materialise(exact.search(queries, width=ann.MOST_CELLS), "ann-exact")  # every cell
+    out = None
+    for kind in ann.KINDS:
+        row = ann.recall(_ann(spark, sf, kind).search(queries), truth).withColumn("kind", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def q63_ann_recall(spark, sf):
+    return _ann_recalls(spark, sf)
+
+
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
+h AS (SELECT query_id, e.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_dist('e.embedding', 'q.qv')}, e.vec_id) AS rn FROM embeddings e CROSS JOIN q)
+SELECT kind, (SELECT count(*) FROM h WHERE rn <= 10)::BIGINT AS n_exact, true AS enough FROM (VALUES ('ivf_flat'), ('ivf_pq'), ('lsh')) t(kind)""")
+def q64_ann_recall_enough(spark, sf):
+    return _ann_recalls(spark, sf).select("kind", "n_exact", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query(f"""SELECT query_id, vec_id, round(score, 6) AS score, rn AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_dist('e.embedding', 'q.embedding')} AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY {_dist('e.embedding', 'q.embedding')}, e.vec_id) AS rn FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0) WHERE rn <= 10""")
+def q65_ann_all_cells(spark, sf):
+    """The stored index with every cell visited is an exact search."""
+    queries = table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return _rounded(_ann(spark, sf, "ivf_flat").search(queries, width=ann.MOST_CELLS).select("query_id", F.col("id").alias("vec_id"), "score", "rank"))
 
 
 _TERMS = ("index", "batch", "vector")
@@ -496,7 +544,9 @@ _BM = " + ".join(f"ln(1.0 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (
 s AS (SELECT id, len(words) AS size, {_TF} FROM r), t AS (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1, count(*) FILTER (tf2 > 0) AS df2 FROM s)
 SELECT id, round({_BM}, 6) AS score FROM s, t WHERE {_BM} > 0 ORDER BY {_BM} DESC, id LIMIT 20""")
 def q59_bm25(spark, sf):
-    return _rounded(fulltext.bm25(table(spark, sf, "documents"), "doc_id", "text", _TERMS))
+    docs = table(spark, sf, "documents")
+    path = stored(docs, "fulltext", lambda to: fulltext.build(docs, to, "doc_id", "text"))
+    return _rounded(fulltext.search(spark, path, _TERMS))
 
 
 @query("SELECT path FROM source_files WHERE list_contains(string_split(path, '/'), 'internal')")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,13 +52,37 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an input that are shuffled at most for the sake of more parts.
+SPREAD_LIMIT = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work that is heavy for each row.
+    """A small ``df`` over at least as many partitions as there are cores, for work that is heavy for each row.
 
-    Inputs that already have as many are left alone, so that nothing large is shuffled for it.
+    Inputs that already have as many parts are left alone, and so are large ones, which come in enough of them: nothing large is shuffled for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_LIMIT:
+        return df
+    return df.repartition(cores)
+
+
+def stored(df: DataFrame, name: str, build: Callable[[str], None]) -> str:
+    """The folder of an index over ``df``, which ``build`` writes once in a session for the same input files."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    marks = []
+    for f in sorted(df.inputFiles()):
+        at = sc._jvm.org.apache.hadoop.fs.Path(f)
+        status = at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at)
+        marks.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    key = (name, hashlib.sha256("\n".join(marks).encode()).hexdigest())
+    held = sc.__dict__.setdefault("_sextant_stored", {})
+    if key not in held:
+        path = f"{scratch_dir(spark)}/index-{name}-{uuid.uuid4().hex}"
+        build(path)
+        held[key] = path
+    return held[key]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
