@@ -45,7 +45,9 @@ def main(argv: list[str] | None = None) -> int:
     else:
         code, docs = HttpEmbedder(conf.endpoint, conf.code_model, conf.api_key), HttpEmbedder(conf.endpoint, conf.text_model, conf.api_key)
     if a.command == "index":
-        r = index(spark, root, store, code, docs, workers=a.workers)
+        r = index(spark, root, store, code, docs, workers=a.workers, batch=a.batch_size)
+        for language, n in sorted(r.languages.items()):
+            print(f"{n} {language} files to index")
         print("up to date" if r.up_to_date else f"{r.new} new, {r.modified} modified, {r.deleted} deleted, {r.unchanged} unchanged")
     elif a.command == "stats":
         print(stats(store).first().asDict())

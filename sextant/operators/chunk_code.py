@@ -70,6 +70,8 @@ _RULES: dict[str, list[tuple[str, re.Pattern]]] = {
     }.items()
 }
 _RULES["typescript"], _RULES["cpp"] = _RULES["javascript"], _RULES["c"]
+#: Languages that have a chunker.
+LANGUAGES = ("go", "python", "ruby", *_RULES)
 
 
 def masked(text: str, language: str) -> str:

@@ -41,7 +41,7 @@ def chunk_whole(files: DataFrame, compat: bool = True) -> DataFrame:
     """One chunk per file. ``compat``: line_end is the length in bytes, else the number of lines."""
     end = F.octet_length("content") if compat else F.size(split_lines(F.col("content")))
     return files.filter(F.col("content").isNotNull()).select(
-        F.col("path").alias("file_path"), F.lit(1).alias("line_start"), end.cast("int").alias("line_end"),
+        F.col("path").alias("file_path"), *[c for c in ("language",) if c in files.columns], F.lit(1).alias("line_start"), end.cast("int").alias("line_end"),
         F.col("content").alias("code"), F.lit("document").alias("chunk_type"), basename(F.col("path")).alias("name"),
     )
 

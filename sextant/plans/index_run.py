@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,8 @@ from sextant.sources.listing import list_files, read_contents
 from sextant.sources.store import Store
 
 TEXT = ("text", "rst")
+#: Files that one task reads and chunks.
+FILES_PER_TASK = 500
 
 
 @dataclass
@@ -25,10 +27,17 @@ class Report:
     deleted: int = 0
     unchanged: int = 0
     up_to_date: bool = False
+    languages: dict[str, int] = field(default_factory=dict)  # files to index, per language
 
 
 def chunk_files(files: DataFrame, compat: bool = True) -> DataFrame:
-    """Chunks of (path, language, content), each file by the chunker of its language, in the shape of the table without vectors."""
+    """Chunks of (path, language, content), each file by the chunker of its language, in the shape of the table without vectors.
+
+    A file of a language without a chunker fails the run; files without language are left out.
+    """
+    known = F.col("language").isin("markdown", *TEXT, *chunk_code.LANGUAGES)
+    unknown = F.raise_error(F.concat(F.lit("no chunker for language "), "language")).cast("string")
+    files = files.filter("language IS NOT NULL").withColumn("language", F.when(known, F.col("language")).otherwise(unknown))
     code = files.filter(~F.col("language").isin("markdown", *TEXT))
     empty = F.lit("")
     made = chunk_code.chunk_code(code).withColumns({
@@ -38,27 +47,30 @@ def chunk_files(files: DataFrame, compat: bool = True) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     md = chunk_text.chunk_markdown(files.filter("language = 'markdown'"), compat).withColumns({"language": F.lit("markdown"), "embedding_type": F.lit("docs"), "metadata": none})
     plain = files.filter(F.col("language").isin(*TEXT))
-    whole = chunk_text.chunk_whole(plain, compat).join(plain.select(F.col("path").alias("file_path"), "language"), "file_path")
-    whole = whole.withColumns({"embedding_type": F.lit("docs"), "heading": empty, "heading_level": empty, "parent_heading": empty, "metadata": F.create_map(F.lit("filename"), F.col("name"))})
+    whole = chunk_text.chunk_whole(plain, compat).withColumns({"embedding_type": F.lit("docs"), "heading": empty, "heading_level": empty, "parent_heading": empty, "metadata": F.create_map(F.lit("filename"), F.col("name"))})
     names = [f.name for f in RAW_CHUNKS.fields if f.name != "chunk_id"]
     rows = made.select(*names).unionByName(md.select(*names)).unionByName(whole.select(*names))
     return chunk_code.with_ids(rows).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_CHUNKS.fields])
 
 
-def index(spark: SparkSession, root: str, store: Store, code: Embedder, docs: Embedder, table: dict[str, str] = STRICT, dim: int = DIM, workers: int = 32) -> Report:
+def index(spark: SparkSession, root: str, store: Store, code: Embedder, docs: Embedder, table: dict[str, str] = STRICT, dim: int = DIM, workers: int = 32, batch: int = 8) -> Report:
     """Brings the store up to date with the tree; one commit, so a failed run leaves the old state."""
     began = datetime.now(timezone.utc)
     scan = list_files(spark, root, table).persist()
     try:
-        actions = incremental.plan(scan, store.files()).persist()
-        counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
-        report = Report(**{k: counts.get(k, 0) for k in ("new", "modified", "deleted", "unchanged")})
-        if not (report.new or report.modified or report.deleted):
-            report.up_to_date = True
-            return report
-        todo = scan.join(actions.filter(F.col("action").isin("new", "modified")).select("path"), "path", "left_semi")
-        fresh = embed_two_passes(chunk_files(read_contents(todo.select("path", "language"), workers)), code, docs, dim=dim, workers=workers)
-        store.replace(incremental.upsert(store.chunks(), fresh, actions), scan, began)
+        with store.writing():  # the state that the run compares with is the one it changes
+            actions = incremental.plan(scan, store.files()).persist()
+            counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
+            report = Report(**{k: counts.get(k, 0) for k in ("new", "modified", "deleted", "unchanged")})
+            if not (report.new or report.modified or report.deleted):
+                report.up_to_date = True
+                return report
+            todo = scan.join(actions.filter(F.col("action").isin("new", "modified")).select("path"), "path", "left_semi")
+            report.languages = {r["language"]: r["n"] for r in todo.groupBy("language").agg(F.count("*").alias("n")).collect()}  # one row per language
+            parts = max(workers, -(-(report.new + report.modified) // FILES_PER_TASK))
+            fresh = embed_two_passes(chunk_files(read_contents(todo.select("path", "language"), parts)), code, docs, dim=dim, workers=workers, batch=batch)
+            stale = actions.filter(F.col("action").isin("modified", "deleted")).select("path")
+            store.upsert(stale, fresh if report.new or report.modified else None, scan, began)
         return report
     finally:
         scan.unpersist()

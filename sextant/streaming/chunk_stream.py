@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sextant.operators.embed import DIM, Embedder, embed_two_passes
-from sextant.operators.incremental import upsert
 from sextant.plans.index_run import chunk_files
 from sextant.sources.store import Store
 
@@ -29,10 +28,10 @@ def upsert_stream(files: DataFrame, store: Store, code: Embedder, docs: Embedder
         newest = rows.filter("path IS NOT NULL").groupBy("path").agg(F.max_by(F.struct("language", "content", "mod_time"), F.coalesce("mod_time", F.lit("1970-01-01").cast("timestamp"))).alias("r"))
         newest = newest.select("path", "r.*").persist()
         try:
-            actions = newest.select("path", F.lit("modified").alias("action"))
             fresh = embed_two_passes(chunk_files(newest.select("path", "language", "content")), code, docs, dim=dim)
-            state = store.files().join(newest.select("path"), "path", "left_anti").unionByName(newest.filter("content IS NOT NULL").select("path", "language", "mod_time"))
-            store.replace(upsert(store.chunks(), fresh, actions), state)
+            with store.writing():
+                state = store.files().join(newest.select("path"), "path", "left_anti").unionByName(newest.filter("content IS NOT NULL").select("path", "language", "mod_time"))
+                store.upsert(newest.select("path"), fresh, state)
         finally:
             newest.unpersist()
 

@@ -1,4 +1,5 @@
 import os
+import threading
 import time
 
 import pytest
@@ -8,8 +9,8 @@ from sextant import cli, config
 from sextant.operators import dml, incremental
 from sextant.operators.embed import HttpEmbedder, LengthEmbedder, dedup_stats, embed_distinct, query_embedder
 from sextant.operators.search import search
-from sextant.plans.index_run import index, stats
-from sextant.sources.listing import list_files
+from sextant.plans.index_run import chunk_files, index, stats
+from sextant.sources.listing import list_files, read_contents
 from sextant.sources.store import Store
 from sextant.streaming.chunk_stream import read_files, upsert_stream
 
@@ -78,7 +79,7 @@ def test_store_changes(spark, tree, tmp_path):
     assert bad.count() == 1 and store.count() == 5
     store.delete_paths(spark.createDataFrame([(str(tree / "README.md"),)], "p string"))
     assert store.chunks().filter("language = 'markdown'").count() <= 1
-    assert store.add_index(["line_start"], "btree") == "line_start_btree" and store.indexes()[0]["kind"] == "btree"
+    assert store.add_index(["line_start"], "btree") == "line_start_btree" and store.indexes()[0]["kind"] == "btree" and store.indexes()[0]["fresh"]
     with pytest.raises(ValueError):
         store.add_index(["line_start"], "label_list")
     assert len(store.vacuum()) > 0
@@ -86,6 +87,120 @@ def test_store_changes(spark, tree, tmp_path):
     assert not store.exists()
 
 
+def chunk_rows(spark, n, start=0, dim=8):
+    return spark.range(start, start + n).select(
+        F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("/p/"), (F.col("id") % 7).cast("string")).alias("file_path"), F.col("id").cast("int").alias("line_start"), F.col("id").cast("int").alias("line_end"),
+        F.when(F.col("id") % 3 == 0, "go").otherwise("python").alias("language"), F.concat(F.lit("code number "), "id").alias("code"), F.lit("f").alias("chunk_type"), F.lit("").alias("heading"), F.lit("").alias("heading_level"),
+        F.lit("").alias("parent_heading"), F.lit("code").alias("embedding_type"), F.lit("n").alias("name"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"),
+        F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda j: F.sin(j * F.col("id")).cast("float")).alias("vector"),
+    )
+
+
+def parquet_files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path / "chunks") for f in names if f.endswith(".parquet")}
+
+
+def test_a_change_touches_only_its_own_files(spark, tmp_path):
+    path = tmp_path / "store"
+    store = Store(spark, str(path))
+    store.append(chunk_rows(spark, 50).coalesce(2))
+    before = parquet_files(path)
+    store.append(chunk_rows(spark, 1, 50))
+    after = parquet_files(path)
+    assert before < after and len(after - before) == 1 and store.count() == 51
+    store.upsert(spark.createDataFrame([("/p/3",)], "p string"), chunk_rows(spark, 1, 59).withColumn("file_path", F.lit("/p/3")))
+    assert before < parquet_files(path) and len(parquet_files(path) - after) == 1
+    assert [r["chunk_id"] for r in store.chunks().filter("file_path = '/p/3'").collect()] == ["c59"]
+    store.append(chunk_rows(spark, 1, 3))  # a path that was deleted may come again
+    assert store.chunks().filter("file_path = '/p/3'").count() == 2
+    n = store.count()
+    store.delete("chunk_id = 'c59'")
+    assert store.count() == n - 1 and before < parquet_files(path)  # the large commit was not written again
+    store.compact()
+    assert store.count() == n - 1 and len(store.vacuum()) > 0 and store.count() == n - 1
+
+
+def test_writers_wait_for_each_other(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    errors = []
+
+    def insert(k):
+        try:
+            Store(spark, store.path).append(chunk_rows(spark, 5, 5 * k))
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=insert, args=(k,)) for k in range(5)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors and store.count() == 25 and store.chunks().select("chunk_id").distinct().count() == 25
+    (tmp_path / "store" / "writer.lock").write_text("left behind")
+    with pytest.raises(TimeoutError):
+        Store(spark, store.path, wait=0.3).append(chunk_rows(spark, 1, 90))
+    time.sleep(0.05)
+    Store(spark, store.path, stale=0.01).append(chunk_rows(spark, 1, 90))
+    assert store.count() == 26
+
+
+def test_indexes_are_built_and_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.append(chunk_rows(spark, 300).filter("language = 'go'").coalesce(1))
+    store.append(chunk_rows(spark, 300).filter("language = 'python'").coalesce(1))
+    plain = {r["value"]: r["n"] for r in store.value_counts("language").collect()}
+    store.add_index(["language"], "bitmap")
+    store.add_index(["code"], "fts")
+    store.add_index(["vector"], "ivf_flat")
+    assert {i["kind"]: i["fresh"] for i in store.indexes()} == {"bitmap": True, "fts": True, "ivf_flat": True}
+    assert {r["value"]: r["n"] for r in store.value_counts("language").collect()} == plain == {"go": 100, "python": 200}
+    assert "/chunks/" not in store.value_counts("language")._jdf.queryExecution().toString()
+    go = store.where("language", ["go"])
+    assert go.count() == 100 and len(go.inputFiles()) == 1 and store.where("language", ["absent"]).count() == 0
+    assert [r["id"] for r in store.search_words(["17"]).collect()] == ["c17"]
+    q = [float(x) for x in store.chunks().filter("chunk_id = 'c42'").first()["vector"]]
+    assert store.nearest(q, 1).first()["chunk_id"] == "c42"
+    store.append(chunk_rows(spark, 3, 300))  # indexes of older content are not used any more
+    assert not any(i["fresh"] for i in store.indexes())
+    assert {r["value"]: r["n"] for r in store.value_counts("language").collect()} == {"go": 101, "python": 202}
+    with pytest.raises(ValueError):
+        store.search_words(["17"])
+    assert store.nearest(q, 1).first()["chunk_id"] == "c42" and store.where("language", ["go"]).count() == 101
+    store.drop_index("code_fts")
+    assert {i["kind"] for i in store.indexes()} == {"bitmap", "ivf_flat"}
+
+
+def test_btree_order_is_kept_by_later_writes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.append(chunk_rows(spark, 20))
+    store.add_index(["line_start"], "btree")
+    store.append(chunk_rows(spark, 20, 20).orderBy(F.desc("line_start")))
+    store.vacuum()
+    for f in parquet_files(tmp_path / "store"):
+        got = [r[0] for r in spark.read.parquet(f).select("line_start").collect()]
+        assert got == sorted(got)
+
+
+def test_refused_rows_are_kept_apart(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.append_checked(chunk_rows(spark, 5), {"go": F.col("language") == "go"})
+    assert store.count() == 2 and store.quarantined().count() == 3
+    assert {tuple(r["broken_rules"]) for r in store.quarantined().collect()} == {("go",)}
+
+
+def test_unknown_languages_fail_the_run(spark):
+    files = spark.createDataFrame([("a.zig", "zig", "x"), ("b.txt", "text", "y")], "path string, language string, content string")
+    with pytest.raises(Exception, match="no chunker for language zig"):
+        chunk_files(files).collect()
+    assert chunk_files(files.filter("language = 'text'")).first()["language"] == "text"
+
+
+def test_a_hadoop_path(spark, tree, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.append(chunk_rows(spark, 4))
+    assert Store(spark, f"file://{tmp_path}/store").count() == 4
+    assert list_files(spark, f"file://{tree}").count() == 4
+    assert read_contents(list_files(spark, f"file://{tree}")).filter("path like '%notes.txt'").first()["content"] == "some notes\n"
+
+
 def test_schema_version_is_checked(spark, tmp_path):
     (tmp_path / "manifest.json").write_text('{"schema_version": 99, "snapshot": null, "files": null}')
     with pytest.raises(ValueError):
