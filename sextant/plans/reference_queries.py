@@ -251,6 +251,40 @@ def q24_search_path(spark, sf):
     return _rounded(search.post_filters(_search(spark, sf, "hybrid", 10), path_contains="issue").select(*_COLS))
 
 
+def _full_search(spark, sf):
+    view, vectors = chunks_view(spark, sf).drop("n_chars", "label"), _two(spark, sf)
+    return search.hits(view, vectors, "hybrid", 10), search.search(view, vectors, "hybrid", 10)
+
+
+_TOTALS = "(SELECT count(*) FROM t WHERE rn <= 10)::BIGINT AS total_results, least(10, (SELECT count(*) FROM u WHERE dn = 1))::BIGINT AS returned"
+_RESULT = """SELECT chunk_id, coalesce(file_path, '') AS file_path, 0 AS line_start, 0 AS line_end, coalesce(language, '') AS language, coalesce(code, '') AS code, round(score, 6) + 0.0 AS score, embedding_type
+FROM u WHERE dn = 1 ORDER BY u.score, chunk_id LIMIT 10"""
+
+
+@query(f"{_search_cte(_BOTH, 10)}, r AS ({_RESULT}) SELECT 'first' AS query, 'hybrid' AS mode, {_TOTALS}, r.* FROM r")
+def q66_envelope_results(spark, sf):
+    before, got = _full_search(spark, sf)
+    env = search.envelope("first", "hybrid", before, got)
+    rows = env.select("query", "mode", "total_results", "returned", F.explode("results").alias("r")).select("query", "mode", "total_results", "returned", "r.*")
+    return _rounded(rows.drop("chunk_type", "heading", "heading_level", "parent_heading"))
+
+
+@query(f"""{_search_cte(_BOTH, 10)}, r AS ({_RESULT}) SELECT 'hybrid' AS mode, {_TOTALS}, (SELECT count(*) FROM r)::INT AS n_results, (SELECT arg_min(chunk_id, (score, chunk_id)) FROM r)::VARCHAR AS first_id,
+(SELECT arg_min(code, (score, chunk_id)) FROM r) AS first_code, (SELECT arg_min(embedding_type, (score, chunk_id)) FROM r) AS first_side, NULL::VARCHAR AS first_heading""")
+def q67_search_json(spark, sf):
+    text = search.to_json(search.envelope("first", "hybrid", *_full_search(spark, sf)))
+    part = lambda p: F.get_json_object("json", p)
+    return text.select(
+        part("$.mode").alias("mode"), part("$.total_results").cast("long").alias("total_results"), part("$.returned").cast("long").alias("returned"), F.json_array_length(part("$.results")).alias("n_results"),
+        part("$.results[0].chunk_id").alias("first_id"), part("$.results[0].code").alias("first_code"), part("$.results[0].embedding_type").alias("first_side"), part("$.results[0].heading").alias("first_heading"),
+    )
+
+
+@query(f"""{_search_cte(_BOTH, 10)}, r AS ({_RESULT}) SELECT file_path || ':0-0  score ' || printf('%.4f', score) || chr(10) || '    ' || substr(code, 1, 100) AS line FROM r""")
+def q68_search_text(spark, sf):
+    return search.to_text(_full_search(spark, sf)[1])
+
+
 # ------------------------------------------------------------------ projections, predicates, counts
 
 
@@ -564,3 +598,19 @@ def q62_chunk_code(spark, sf):
     """Functions, methods and types of every source file."""
     files = table(spark, sf, "source_files").withColumn("language", L.detect_language(F.col("path"), F.col("content")))
     return chunk_code.chunk_code(files).select("file_path", "language", "chunk_type", "name", "signature", "receiver", "line_start", "line_end")
+
+
+@query(rf"""WITH {_lines_cte('path, content FROM source_files', "path LIKE '%.go'")},
+f AS (SELECT path, ln, line, regexp_extract(line, '^func\s+(?:\([^)]*\)\s*)?([A-Za-z_][A-Za-z0-9_]*)\s*[\[(]', 1) AS name FROM lines)
+SELECT path AS file_path, name, ln AS line_start, CASE WHEN line LIKE 'func (%' THEN 'method' ELSE 'function' END AS chunk_type FROM f WHERE name <> ''""")
+def q69_go_functions(spark, sf):
+    files = _files(spark, sf, ".go").select("path", F.lit("go").alias("language"), "content")
+    return chunk_code.chunk_code(files).filter("chunk_type IN ('function', 'method')").select("file_path", "name", "line_start", "chunk_type")
+
+
+@query(rf"""WITH {_lines_cte('path, content FROM source_files', "path LIKE '%.py'")},
+f AS (SELECT path, ln, regexp_extract(line, '^\s*(?:async\s+)?def\s+(\w+)\s*[(\[]', 1) AS name FROM lines)
+SELECT path AS file_path, name, ln AS line_start FROM f WHERE name <> ''""")
+def q70_python_functions(spark, sf):
+    files = _files(spark, sf, ".py").select("path", F.lit("python").alias("language"), "content")
+    return chunk_code.chunk_code(files).filter("chunk_type IN ('function', 'method')").select("file_path", "name", "line_start")
