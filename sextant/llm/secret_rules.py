@@ -82,6 +82,21 @@ def is_live(value: str, quoted: bool = True) -> bool:
     return True
 
 
+#: Names of passwords, whose values people make up: words and phrases may stand there.
+_MADE_UP = re.compile(r"(?i)(?:pass(?:word|wd|phrase|wort|code)|kennwort|pwd|contraseña|motdepasse)\d*$")
+_SENTENCE = frozenset("a an and any are at be by can enter for from has here if in is it its must my new no not of on or our please the their this to use user was with you your password passphrase passwd secret token key".split())
+
+
+def is_made_up(name: str, value: str) -> bool:
+    """Whether the value of a password's name could be one that a person made up: one long word, or a phrase that is no sentence."""
+    if not _MADE_UP.search(name) or PLACEHOLDER.search(value) or REFERENCE.match(value):
+        return False
+    words = value.split(" ")
+    if len(words) == 1:
+        return len(value) >= 8 and bool(re.fullmatch(r"[A-Z]?[a-z]+", value)) and len(set(value)) >= 5 and value.lower() not in _SENTENCE and not _SECRET_TALK.search(value)
+    return len(words) >= 4 and len(value) >= 16 and all(re.fullmatch(r"[A-Za-z0-9\-]+", w) and w.lower() not in _SENTENCE for w in words)
+
+
 def looks_random(v: str) -> bool:
     """Characters as a generator gives them: mixed classes without the build of words."""
     if len(v) < 8 or any(c.isspace() for c in v) or PLACEHOLDER.search(v) or REFERENCE.match(v):
@@ -173,6 +188,14 @@ RULES = (
         ),
         ("pass", "kennwort", "pwd", "secret", "token", "key", "login", "credential", "pin", "contraseña", "mot de passe"),
     ),
+    Rule(
+        "joined_option",
+        re.compile(r"\b(?:mysql(?:dump|admin|import)?|mariadb|sshpass)\b[^\n|;&]{0,200}?\s-p(?P<v>[^\s\"'`=\-][^\s\"'`]{3,})"),
+    ),
+    Rule(
+        "hook_address",
+        re.compile(r"https://(?:[\w\-]+\.)*(?:hooks?|webhooks?)[\w\-]*\.[\w.\-]+/(?:[\w\-]+/)+(?P<v>[A-Za-z0-9_\-]{20,})|https://[\w.\-]+/(?:[\w\-]+/)*(?:webhooks?|hooks)/(?:[\w\-]+/)+(?P<w>[A-Za-z0-9_\-]{20,})"),
+    ),
     Rule(
         "compared_literal",
         re.compile(r"(?:[=!]==? ?(?=[\"'`])|\.equals\(|strcmp\([^,\n]*, ?|compare_digest\([^,\n]*, ?)" + _LITERAL),
@@ -205,7 +228,7 @@ def _matches(rule: Rule, code: str, low: str):
         at = 0
         while m := rule.regex.search(code, at):
             yield m
-            at = max(m.start() + 1, m.start("v"))
+            at = max(m.start() + 1, m.start("v"))  # a value can hold the next name
         return
     places = set()
     for a in rule.anchors:
@@ -321,6 +344,8 @@ def find(code: str, path: str, rules: tuple[int, ...] = tuple(range(len(RULES)))
                             add(m.start("v") + s.end(), m.end("v"), name)
                     elif is_live(v) and not v.startswith("-----BEGIN"):
                         add_literal(m, name)
+                    elif is_made_up(n, v):
+                        add(m.start("v"), m.end("v"), name)
             elif name == "named_plain":
                 if not is_code and _LINE_START.match(_before(code, m)) and is_secret_name(_whole_name(code, m)) and is_live(v.rstrip(",;")):
                     add(m.start("v"), m.start("v") + len(v.rstrip(",;")), name)
@@ -347,6 +372,13 @@ def find(code: str, path: str, rules: tuple[int, ...] = tuple(range(len(RULES)))
                 v2 = v.rstrip(".,;:)]}").rstrip("`\"'")
                 if is_live(v2) and (not is_code or _comment_part(code, m.start())) and _prose_value(v2, bool(linked)):
                     add(m.start("v"), m.start("v") + len(v2), name)
+            elif name == "joined_option":
+                if is_live(v) or (len(v) >= 4 and any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not PLACEHOLDER.search(v) and not REFERENCE.match(v)):
+                    add(m.start("v"), m.end("v"), name)
+            elif name == "hook_address":
+                group = "v" if v else "w"
+                if looks_random(m.group(group)):
+                    add(m.start(group), m.end(group), name)
             elif name == "compared_literal":
                 rest = (code[code.rfind("\n", 0, m.start()) + 1 :].split("\n", 1)[0]).replace(v, "")
                 if is_live(v) and (_SECRET_TALK.search(rest)) and (any(c.isdigit() for c in v) or looks_random(v) or v.count("-") >= 3):
