@@ -30,7 +30,7 @@ JAVA_WORDS = frozenset(
     "abstract assert boolean break byte case catch char class const continue default do double else enum extends final "
     "finally float for goto if implements import instanceof int interface long native new package private protected "
     "public return short static strictfp super switch synchronized this throw throws transient try void volatile while true "
-    "false null record permits sealed yield when".split()
+    "false null record permits sealed yield when module requires exports opens uses provides open".split()
 )
 JS_WORDS = frozenset(
     "break case catch class const continue debugger default delete do else extends false finally for function if in "
@@ -245,6 +245,7 @@ class JsLexer(Lexer):
             at, value = m.end(), True
             kinds.append("STR")
         match, words, values = self.master.match, self.words, self.values
+        conditions: list[bool] = []  # for each bracket opened on this line, whether a statement follows it
         while at < n:
             m = match(line, at)
             if m is None:
@@ -301,8 +302,12 @@ class JsLexer(Lexer):
                 if at < 0:
                     return self._cut(kinds), ("C", open_, value)
                 continue
+            if kind == "(":
+                conditions.append(bool(kinds) and kinds[-1] in ("if", "while", "for", "with") and kinds[-2:-1] not in (["."], ["?."]))
             kinds.append(kind)
             value = kind in values
+            if kind == ")" and conditions and conditions.pop():
+                value = False
         return self._cut(kinds), ("", open_, value)
 
     def _cut(self, kinds):
@@ -372,7 +377,7 @@ class PyLexer:
                     return kinds, ""
                 at = o.end()
                 if "f" in pre and len(q) == 1:
-                    at = self._formatted(line, at, q, kinds)
+                    at = self._formatted(line, at, q, kinds, "r" in pre)
                     if at < 0:
                         kinds.append(ERROR)
                         return kinds, ""
@@ -390,28 +395,34 @@ class PyLexer:
                 return kinds, "K"
         return kinds, ""
 
-    def _formatted(self, line: str, at: int, q: str, kinds: list[str]) -> int:
+    def _formatted(self, line: str, at: int, q: str, kinds: list[str], raw: bool) -> int:
         """Reads a formatted string of one line after its quote; -1 if it is broken."""
         kinds.append("FSTART")
-        at = self._parts(line, at, q, kinds, spec=False)
+        at = self._parts(line, at, q, kinds, False, raw)
         if at < 0 or not line.startswith(q, at):
             return -1
         kinds.append("FEND")
         return at + len(q)
 
-    def _parts(self, line: str, at: int, q: str, kinds: list[str], spec: bool) -> int:
+    def _parts(self, line: str, at: int, q: str, kinds: list[str], spec: bool, raw: bool) -> int:
         n = len(line)
         while at < n:
             c = line[at]
             if c == "\\":
-                at += 2
+                if not raw and line.startswith("N{", at + 1):  # a character by its name
+                    end = line.find("}", at)
+                    if end < 0:
+                        return -1
+                    at = end + 1
+                else:  # a backslash does not take the meaning from a brace
+                    at += 1 if line[at + 1 : at + 2] in ("{", "}") else 2
             elif line.startswith(q, at) or (spec and c == "}"):
                 return at
             elif c == "{":
                 if not spec and line.startswith("{{", at):
                     at += 2
                     continue
-                at = self._field(line, at + 1, q, kinds)
+                at = self._field(line, at + 1, q, kinds, raw)
                 if at < 0:
                     return -1
             elif c == "}":
@@ -422,7 +433,7 @@ class PyLexer:
                 at += 1
         return -1
 
-    def _field(self, line: str, at: int, q: str, kinds: list[str]) -> int:
+    def _field(self, line: str, at: int, q: str, kinds: list[str], raw: bool) -> int:
         kinds.append("FLB")
         depth, n, match = 0, len(line), self.master.match
         while at < n:
@@ -438,7 +449,7 @@ class PyLexer:
                 continue
             if depth == 0 and line[at] == ":":
                 kinds.append("FCOLON")
-                at = self._parts(line, at + 1, q, kinds, spec=True)
+                at = self._parts(line, at + 1, q, kinds, True, raw)
                 if at < 0 or line[at : at + 1] != "}":
                     return -1
                 continue
@@ -452,7 +463,7 @@ class PyLexer:
                 if len(inner) == 3:
                     return -1
                 if "f" in o["pre"].lower():
-                    at = self._formatted(line, o.end(), inner, kinds)
+                    at = self._formatted(line, o.end(), inner, kinds, "r" in o["pre"].lower())
                     if at < 0:
                         return -1
                     continue

@@ -88,3 +88,17 @@ def test_frame(spark):
     listing = spark.createDataFrame([("r1", "a.go", "2024-01-01"), ("r2", "a.go", "2024-01-02"), ("r1", None, None)], "repo string, path string, t string").selectExpr("repo", "path", "cast(t as timestamp) as listed_at")
     rates = {(r["repo"], r["lang"]): (r["n_files"], r["n_invalid"]) for r in parse_check.fault_rates(report, listing).collect()}
     assert rates[("r2", "go")] == (1, 0) and rates[(None, "go")] == (2, 2)
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "valid"),
+    [
+        ("python", "x = rf'\\{x}'\n", True), ("python", "x = f'\\N{DASH}{x}'\n", True), ("python", "x = rf'\\{x'\n", False), ("python", "x = rf'a\\'{y}'\n", True),
+        ("javascript", "if (x) /re/.exec(y);\n", True), ("javascript", "o.if(x) / 2 / 1;\n", True), ("javascript", "x = (a) / b / c;\n", True), ("javascript", "const x;\n", False),
+        ("javascript", "for (const x of y) {}\n", True), ("javascript", "let {a};\n", False), ("javascript", "const {a} = b, c = 1;\n", True),
+        ("java", "open module a.b { requires java.base; requires transitive x.y; exports a.b to c, d.e; uses f.G; provides p.Q with r.S; }\n", True),
+        ("java", "class A { void open(int module) { this.exports = module; uses(); } }\n", True), ("java", "modul a.b { requires c; }\n", False),
+    ],
+)
+def test_rare_forms(language, text, valid):
+    assert (Reader(language, lr_tables.load(language)).check(text) is None) == valid
