@@ -94,17 +94,19 @@ def _line(text: str, at: int) -> int:
 
 
 def _doc_before(text: str, at: int) -> str:
-    """The comment right before a declaration: only its last line if it is a row of line comments."""
-    before = text[:at].rstrip(" \t")
-    if not before.endswith("\n"):
+    """The comment right before a declaration, without its marks: only the last line of a row of line comments. Blank lines may stand between."""
+    line = text.rfind("\n", 0, at) + 1
+    if text[line:at].strip():
         return ""
-    before = before[:-1].rstrip(" \t\r")
+    before = text[:line].rstrip()
     last = before.rsplit("\n", 1)[-1].strip()
-    if last.startswith(("//", "#")):
+    if last.startswith("//"):
+        return last.removeprefix("//").strip()
+    if last.startswith("#"):
         return last
     if last.endswith("*/"):
         start = before.rfind("/*")
-        return before[start:] if start >= 0 else ""
+        return before[start:].removeprefix("/*").removesuffix("*/").strip() if start >= 0 else ""
     return ""
 
 
@@ -191,10 +193,13 @@ def _python(text: str) -> Iterator[dict]:
     for node in sorted((n for n in ast.walk(tree) if isinstance(n, kinds)), key=lambda n: n.lineno):
         code = "\n".join(lines[node.lineno - 1 : node.end_lineno])[node.col_offset :]
         kind = "class" if isinstance(node, ast.ClassDef) else "function"
+        at = sum(map(len, lines[: node.lineno - 1])) + node.lineno - 1
+        doc = "" if node.decorator_list else _doc_before(text, at + node.col_offset)
+        said = ast.get_docstring(node, clean=False)
         sig = "" if kind == "class" else f"({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
         yield {
-            "chunk_type": kind, "name": node.name, "signature": sig, "receiver": "", "doc_comment": ast.get_docstring(node, clean=False) or "", "code": code,
-            "line_start": node.lineno, "line_end": node.end_lineno, "metadata": {},
+            "chunk_type": kind, "name": node.name, "signature": sig, "receiver": "", "doc_comment": doc, "code": code,
+            "line_start": node.lineno, "line_end": node.end_lineno, "metadata": {"docstring": said} if said else {},
         }
 
 

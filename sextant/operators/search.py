@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -86,8 +88,15 @@ def to_text(results: DataFrame) -> DataFrame:
     return with_defaults(results).orderBy("score", "chunk_id").select(text.alias("line"))
 
 
-def post_filters(results: DataFrame, language: str | None = None, path_contains: str | None = None, score_band: tuple[float, float] | None = None) -> DataFrame:
+def glob_pattern(glob: str) -> str:
+    """A shell pattern over whole paths as a regular expression: ``*`` and ``?`` also cross folders, ``[...]`` is a set."""
+    return "(?s)\\A" + re.sub(r"\\z$|\\Z$", "", fnmatch.translate(glob).removeprefix("(?s:").removesuffix(")\\Z").removesuffix(")\\z")) + "\\z"
+
+
+def post_filters(results: DataFrame, language: str | None = None, path_contains: str | None = None, score_band: tuple[float, float] | None = None, path_glob: str | None = None) -> DataFrame:
     """Optional filters on finished results."""
+    if path_glob is not None:
+        results = results.filter(F.col("file_path").rlike(glob_pattern(path_glob)))
     if language is not None:
         results = results.filter(F.col("language") == language)
     if path_contains is not None:

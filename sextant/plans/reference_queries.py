@@ -251,6 +251,11 @@ def q24_search_path(spark, sf):
     return _rounded(search.post_filters(_search(spark, sf, "hybrid", 10), path_contains="issue").select(*_COLS))
 
 
+@query(_post_sql("file_path GLOB '[ir]*/*[0-8].txt'"))
+def q71_search_glob(spark, sf):
+    return _rounded(search.post_filters(_search(spark, sf, "hybrid", 10), path_glob="[ir]*/*[0-8].txt").select(*_COLS))
+
+
 def _full_search(spark, sf):
     view, vectors = chunks_view(spark, sf).drop("n_chars", "label"), _two(spark, sf)
     return search.hits(view, vectors, "hybrid", 10), search.search(view, vectors, "hybrid", 10)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import tempfile
 import uuid
@@ -48,10 +49,26 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_sextant_scratch", []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Removes the intermediate tables and indexes that this session wrote. Only for when no result that reads them is still to be computed."""
+    sc = spark.sparkContext
+    gone = sc.__dict__.pop("_sextant_scratch", []) + list(sc.__dict__.pop("_sextant_stored", {}).values())
+    for path in gone:
+        at, fs = _file_system(spark, path)
+        fs.delete(at, True)
+    return len(gone)
+
+
 #: Bytes of an input that are shuffled at most for the sake of more parts.
 SPREAD_LIMIT = 1 << 30
 
@@ -73,8 +90,8 @@ def stored(df: DataFrame, name: str, build: Callable[[str], None]) -> str:
     sc = spark.sparkContext
     marks = []
     for f in sorted(df.inputFiles()):
-        at = sc._jvm.org.apache.hadoop.fs.Path(f)
-        status = at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at)
+        at, fs = _file_system(spark, f)
+        status = fs.getFileStatus(at)
         marks.append(f"{f} {status.getLen()} {status.getModificationTime()}")
     key = (name, hashlib.sha256("\n".join(marks).encode()).hexdigest())
     held = sc.__dict__.setdefault("_sextant_stored", {})
@@ -96,12 +113,17 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_sextant_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "sextant.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, names in os.walk(os.path.join(root, "sextant")):
             for n in sorted(names):
                 if n.endswith((".py", ".txt")):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, root))
+    path = f"{scratch_dir(spark)}/code-{uuid.uuid4().hex}/sextant.zip"
+    at, fs = _file_system(spark, path)
+    stream = fs.create(at, True)
+    stream.write(packed.getvalue())
+    stream.close()
     sc.addPyFile(path)
     sc._sextant_shipped = True

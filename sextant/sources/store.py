@@ -26,6 +26,8 @@ from sextant.schema import CHUNKS, FILES, SCHEMA_VERSION
 
 #: Seconds that a writer waits for the lock, and after which a lock counts as left behind.
 WAIT, STALE = 600.0, 6 * 3600.0
+#: Seconds after which a writer looks whether the lock is its own: local file systems do not create files atomically.
+SETTLE = 0.05
 INDEX_KINDS = ("btree", "bitmap", "fts", *ann.KINDS)
 
 
@@ -48,14 +50,17 @@ class Store:
         at = self._at("manifest.json")
         if not self._fs.exists(at):
             return {"schema_version": SCHEMA_VERSION, "next": 0, "commits": [], "deletes": [], "exists": False, "files": None, "last_index_time": None, "indexes": []}
+        found = json.loads(self._read_text(at))
+        if found["schema_version"] != SCHEMA_VERSION:
+            raise ValueError(f"the store has schema version {found['schema_version']}, this code {SCHEMA_VERSION}")
+        return found
+
+    def _read_text(self, at) -> str:
         stream = self._fs.open(at)
         try:
-            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        if found["schema_version"] != SCHEMA_VERSION:
-            raise ValueError(f"the store has schema version {found['schema_version']}, this code {SCHEMA_VERSION}")
-        return found
 
     def _write_text(self, at, text: str, overwrite: bool) -> None:
         stream = self._fs.create(at, overwrite)
@@ -74,13 +79,15 @@ class Store:
     def writing(self):
         """Holds the lock; a writer that already has it goes on."""
         if self._held == 0:
-            at, until = self._at("writer.lock"), time.monotonic() + self.wait
+            at, mark, until = self._at("writer.lock"), uuid.uuid4().hex, time.monotonic() + self.wait
             while True:
                 try:
-                    self._write_text(at, str(time.time()), False)
-                    break
+                    self._write_text(at, mark, False)
+                    time.sleep(SETTLE)
+                    if self._read_text(at) == mark:
+                        break
                 except Exception as e:
-                    if not self._fs.exists(at) and "AlreadyExists" not in str(e):
+                    if not self._fs.exists(at) and not any(x in str(e) for x in ("AlreadyExists", "FileNotFound")):
                         raise
                 if self._fs.exists(at) and time.time() * 1000 - self._fs.getFileStatus(at).getModificationTime() > self.stale * 1000:
                     self._fs.delete(at, False)

@@ -115,7 +115,7 @@ def test_go_chunks():
     assert list(got) == ["HelloWorld", "User", "GetName", "R", "E", "G"]
     h = got["HelloWorld"]
     assert (h["chunk_type"], h["signature"], h["line_start"], h["line_end"]) == ("function", "(a, b int) (int, error)", 10, 13)
-    assert h["doc_comment"] == "// HelloWorld says hello." and h["metadata"]["imports"] == "fmt, strings" and h["metadata"]["package"] == "p"
+    assert h["doc_comment"] == "HelloWorld says hello." and h["metadata"]["imports"] == "fmt, strings" and h["metadata"]["package"] == "p"
     assert got["GetName"]["receiver"] == "*User" and got["GetName"]["signature"] == "() string"
     assert got["User"]["metadata"]["fields"] == "Name, Age" and got["R"]["metadata"]["methods"] == "Read, Close"
     assert got["E"]["chunk_type"] == "interface" and got["R"]["code"] == got["E"]["code"] and got["E"]["code"].startswith("type (")
@@ -151,3 +151,12 @@ def test_chunk_code_frame(spark):
     df = spark.createDataFrame([("a.go", "go", GO, 1), ("b", "go", None, 1), ("c", None, "x", 1), ("d", "unknown", "x", 1)], "path string, language string, content string, name int")
     rows = chunk_code.with_ids(chunk_code.chunk_code(df))
     assert rows.count() == 6 and rows.select("chunk_id").distinct().count() == 6
+
+
+def test_doc_comments_are_what_stands_before():
+    from sextant.operators.chunk_code import extract
+
+    py = extract('# first\n# adds\ndef f(a):\n    """Says."""\n    return a\n\n@d\n# inner\ndef g():\n    pass\nclass A:\n    # a method\n    def m(self): pass\n', "python")
+    assert [(r["name"], r["doc_comment"], r["metadata"].get("docstring")) for r in py] == [("f", "# adds", "Says."), ("g", "", None), ("A", "", None), ("m", "# a method", None)]
+    go = extract("package p\n\n// One line.\n// F is last.\nfunc F() {}\n\n/* Block\n of G */\n\nfunc G() {}\n\nvar x = 1 // no\nfunc H() {}\n", "go")
+    assert [(r["name"], r["doc_comment"]) for r in go if r["chunk_type"] == "function"] == [("F", "F is last."), ("G", "Block\n of G"), ("H", "")]
