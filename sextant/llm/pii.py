@@ -139,10 +139,10 @@ def places_of(text: str) -> list[Place]:
     return out
 
 
-def low_names_of(text: str, names) -> list[Place]:
+def low_names_of(text: str, names, firsts=None) -> list[Place]:
     """Places where a name in lower case may stand: it begins with a word of ``names``."""
     out: list[Place] = []
-    begins = forms.low_places(text, names)
+    begins = forms.low_places(text, names, firsts)
     if begins:
         starts = set(begins)
         for low, high in forms.windows(text, begins):
@@ -337,7 +337,7 @@ def _with_own_model(located: DataFrame, keys: DataFrame) -> DataFrame:
         for b in batches:
             ids, out = [], []
             for d, text, found in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), _batch_places(b), strict=True):
-                k = sorted(_keys_of(found + low_names_of(text, _Every())))
+                k = sorted(_keys_of(found + low_names_of(text, _Every(), _Every())))
                 ids += [d] * len(k)
                 out += k
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(out, pa.string())})
@@ -383,13 +383,13 @@ def _apply(rows: DataFrame, schema: str, work, limit: int, learn: bool = True) -
 
     if keys.count() <= limit:
         known = frozenset(r[0] for r in keys.collect())
-        shared = rows.sparkSession.sparkContext.broadcast((known, _names(known)))
+        shared = rows.sparkSession.sparkContext.broadcast((known, _names(known), forms.first_parts(_names(known))))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, names = shared.value
+            known, names, firsts = shared.value
             for b in batches:
                 found = zip(b["text"].to_pylist(), _batch_places(b), strict=True)
-                yield work(b, [decide(ps + low_names_of(text, names), known) for text, ps in found])
+                yield work(b, [decide(ps + low_names_of(text, names, firsts), known) for text, ps in found])
 
         return located.mapInArrow(scan, schema)
 

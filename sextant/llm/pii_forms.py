@@ -367,10 +367,20 @@ def name_places(text: str) -> list[int]:
     return out
 
 
-def low_places(text: str, names) -> list[int]:
-    """Where a word in lower case stands that is one of ``names``."""
-    pieces = text.split()
-    if names.isdisjoint(pieces) and names.isdisjoint(_ANY_WORD.findall(" ".join([p for p in pieces if not p.isalpha()]))):
+_TO_WORDS = {c: " " for c in range(128) if not chr(c).isalpha()}
+
+
+def first_parts(names) -> frozenset[str]:
+    """``names`` and what their compounds begin with: what :func:`low_places` looks for first."""
+    return frozenset(names) | frozenset(re.split(r"['’\-]", n)[0] for n in names)
+
+
+def low_places(text: str, names, firsts=None) -> list[int]:
+    """Where a word in lower case stands that is one of ``names``; ``firsts``: their :func:`first_parts`."""
+    if text.isascii():
+        if (first_parts(names) if firsts is None else firsts).isdisjoint(text.translate(_TO_WORDS).split()):
+            return []
+    elif names.isdisjoint(_ANY_WORD.findall(text)):
         return []
     return [m.start() for m in _ANY_WORD.finditer(text) if m.group() in names]
 
