@@ -338,7 +338,7 @@ def mentions(ws: list[Word], lower: Callable[[str], bool] | None) -> Iterator[Me
 
 
 #: Characters on each side of a place in which its context is looked for.
-BEFORE, BEHIND = 64, 112
+BEFORE, BEHIND = 48, 88
 _UPPER = "[" + "".join(chr(c) for c in range(0x10000) if chr(c).isupper()) + "]"
 _PARTICLE_WORDS = "|".join(sorted({re.escape(p.split()[0]) for p in PARTICLES}, key=len, reverse=True))
 #: Where a name in capital letters may begin: a word or an initial before another one.
