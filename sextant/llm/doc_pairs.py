@@ -63,6 +63,7 @@ class Function:
     signature: str
     params: list[str] = field(default_factory=list)
     body: int = 0  # line on which the body begins
+    column: int = 0  # of its brace, while the end is not known (-1)
 
 
 @dataclass
@@ -295,7 +296,6 @@ def _brace_functions(lines: list[str], open_: list[bool], language: str) -> Iter
             if not inner or "{" not in lines[inner[0]][inner[1] :]:
                 continue
             ln, col = inner[0], lines[inner[0]].index("{", inner[1])
-        stop = _close(lines, open_, ln, col, None)
         top = at
         while top > 0 and not open_[top - 1]:
             above = lines[top - 1].strip()
@@ -305,7 +305,15 @@ def _brace_functions(lines: list[str], open_: list[bool], language: str) -> Iter
                 top -= 1
             else:
                 break
-        yield Function(name.lstrip("#"), at, top, stop[0] if stop else ln, " ".join(x.strip() for x in lines[at : ln + 1]), _param_names(" ".join(lines[at2 : end_sig[0] + 1]), language), ln)
+        yield Function(name.lstrip("#"), at, top, -1, " ".join(x.strip() for x in lines[at : ln + 1]), _param_names(" ".join(lines[at2 : end_sig[0] + 1]), language), ln, col)
+
+
+def end_of(f: Function, lines: list[str], open_: list[bool]) -> int:
+    """The last line of a function; brackets are followed only where it is asked for."""
+    if f.end < 0:
+        stop = _close(lines, open_, f.body, f.column, None)
+        f.end = stop[0] if stop else f.body
+    return f.end
 
 
 def _old_style(between: list[str]) -> bool:
@@ -431,7 +439,9 @@ def _inside(lines: list[str], open_: list[bool], f: Function, language: str) ->
             at -= 1
     mark = "#" if language == "python" else "/"
     stop = at
-    while stop <= f.end and stop < len(lines) and (lines[stop].lstrip().startswith(mark) or open_[stop]):
+    if at >= len(lines) or not lines[at].lstrip().startswith(mark):
+        return None
+    while stop <= end_of(f, lines, open_) and stop < len(lines) and (lines[stop].lstrip().startswith(mark) or open_[stop]):
         stop += 1
     c = _above(lines, open_, stop, language) if stop > at else None
     if c and c.start >= at:
@@ -581,6 +591,7 @@ def pairs_of(text: str, language: str, open_: list[bool]) -> Iterator[tuple[Func
             functions.append(f)
     order, edges, places = edges_of(functions, own, lines, open_, language)
     for a, b in assign(edges):
+        end_of(functions[b], lines, open_)
         yield functions[b], Comment(order[a].start, order[a].end, order[a].text, places[(a, b)])
 
 
