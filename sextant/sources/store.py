@@ -10,6 +10,7 @@ One writer at a time holds the lock; others wait for it.  A lock that is older t
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -26,8 +27,6 @@ from sextant.schema import CHUNKS, FILES, SCHEMA_VERSION
 
 #: Seconds that a writer waits for the lock, and after which a lock counts as left behind.
 WAIT, STALE = 600.0, 6 * 3600.0
-#: Seconds after which a writer looks whether the lock is its own: local file systems do not create files atomically.
-SETTLE = 0.05
 INDEX_KINDS = ("btree", "bitmap", "fts", *ann.KINDS)
 
 
@@ -75,21 +74,38 @@ class Store:
         how[0] = rename.OVERWRITE
         self._hadoop.FileContext.getFileContext(temp.toUri() if temp.toUri().getScheme() else self._fs.getUri(), self._conf).rename(self._fs.makeQualified(temp), self._fs.makeQualified(self._at("manifest.json")), how)
 
+    def _take(self, at) -> bool:
+        """Makes the lock, if there is none; atomic on local file systems and on those of a cluster."""
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.close(os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+                return True
+            except FileExistsError:
+                return False
+        try:
+            self._write_text(at, "", False)
+            return True
+        except Exception:
+            if self._fs.exists(at):
+                return False
+            raise
+
+    def _age(self, at) -> float:
+        """Seconds since a file was written; 0 if it has gone meanwhile."""
+        try:
+            return time.time() - self._fs.getFileStatus(at).getModificationTime() / 1000
+        except Exception:
+            if self._fs.exists(at):
+                raise
+            return 0.0
+
     @contextmanager
     def writing(self):
         """Holds the lock; a writer that already has it goes on."""
         if self._held == 0:
-            at, mark, until = self._at("writer.lock"), uuid.uuid4().hex, time.monotonic() + self.wait
-            while True:
-                try:
-                    self._write_text(at, mark, False)
-                    time.sleep(SETTLE)
-                    if self._read_text(at) == mark:
-                        break
-                except Exception as e:
-                    if not self._fs.exists(at) and not any(x in str(e) for x in ("AlreadyExists", "FileNotFound")):
-                        raise
-                if self._fs.exists(at) and time.time() * 1000 - self._fs.getFileStatus(at).getModificationTime() > self.stale * 1000:
+            at, until = self._at("writer.lock"), time.monotonic() + self.wait
+            while not self._take(at):
+                if self._age(at) > self.stale:
                     self._fs.delete(at, False)
                 elif time.monotonic() > until:
                     raise TimeoutError(f"another writer holds {self.path}")
